@@ -16,7 +16,6 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", max_rounds:
     written between rounds.
     """
     now = work.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    mark = None
     for r in range(1, max_rounds + 1):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -26,10 +25,10 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", max_rounds:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = work.keep(small, f"{name}-{r}")
         work.drop(f"{name}-{r - 1}")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        # done when each node has one edge, to a node that has none
+        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("up")).distinct())
+        if not ends.groupBy("n").agg(F.count("*").alias("c"), F.sum("up").alias("up")).where("c > 1 and up > 0").limit(1).count():
             break
-        mark = seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -32,7 +32,11 @@ from .store import Workspace, partitions
 from .textvec import U64, Words, mix, slices
 
 #: Signatures that a mapper holds before it sends them on, and that a reducer is meant to get.
-FLUSH, PER_BUCKET = 1 << 20, 1 << 20
+FLUSH, PER_BUCKET = 1 << 19, 1 << 19
+#: Bits of a signature beyond those of its bucket.
+SIG_BITS = 40
+#: Sets of at most so many shingles are first compared on 16 bits of each, larger ones on 24.
+SMALL = 600
 #: Rows of (doc_id) that are broadcast at most; above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 4
@@ -82,7 +86,7 @@ def plan(sizes: list[tuple[int, int]], pct: int) -> tuple[list[tuple[int, int]],
                 signatures = n1 * math.comb(n2, k2)
                 # members are about in the middle of the two bands
                 chance = min(1.0, signatures * math.exp(-2 * math.sqrt(low * high) * (n2 - k2) / (n2 * n1)))
-                price = signatures * n + 4 * n * n / 2 * chance
+                price = signatures * n + 80 * n * n * chance
                 best = min(best or (math.inf,), (price, n1, k2, n2))
         out.append(Instance(j, *best[1:]))
     return limits, out
@@ -154,12 +158,27 @@ def signatures(sets: list[np.ndarray], limits: list[tuple[int, int]], instances:
 
 
 def _pack(bucket: int, live: bool, sig: np.ndarray, node: np.ndarray) -> tuple:
-    return bucket, live, sig.tobytes(), node.tobytes()
+    """Sorted signatures as high and low halves (the high ones compress to nothing), and
+    each one's set as a place in a short list of sets."""
+    names, place = np.unique(node, return_inverse=True)
+    place = place.astype("<u2" if len(names) < 1 << 16 else "<u4")
+    return bucket, live, (sig >> U64(32)).astype("<u4").tobytes(), sig.astype("<u4").tobytes(), names.tobytes(), place.tobytes()
+
+
+_PACKED = "bucket int, live boolean, high binary, low binary, names binary, place binary"
+
+
+def _unpack(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    sigs, nodes = [], []
+    for high, low, names, place in zip(*(table.column(c).to_pylist() for c in ("high", "low", "names", "place")), strict=True):
+        sigs.append(np.frombuffer(high, "<u4").astype(U64) << U64(32) | np.frombuffer(low, "<u4").astype(U64))
+        nodes.append(np.frombuffer(names, U64)[np.frombuffer(place, "<u2" if len(place) * 2 == len(low) else "<u4")])
+    return sigs, nodes
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    b, live, s, n = zip(*rows, strict=True)
-    return pa.record_batch({"bucket": pa.array(b, pa.int32()), "live": pa.array(live, pa.bool_()), "sigs": pa.array(s, pa.large_binary()).cast(pa.binary()), "nodes": pa.array(n, pa.large_binary()).cast(pa.binary())})
+    bucket, live, *packed = zip(*rows, strict=True)
+    return pa.record_batch({"bucket": pa.array(bucket, pa.int32()), "live": pa.array(live, pa.bool_())} | {c: pa.array(x, pa.binary()) for c, x in zip(("high", "low", "names", "place"), packed, strict=True)})
 
 
 def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +198,9 @@ def _distinct(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _flush(sig: np.ndarray, node: np.ndarray, bits: int, spread: int) -> Iterator[pa.RecordBatch]:
     """Packed rows. A signature that two sets here share needs no proof elsewhere: its
-    members go on as live, spread evenly, and one entry tells the signature's bucket."""
-    sig, node = _distinct(sig, node)
+    members go on as live, spread evenly, and one entry tells the signature's bucket.
+    Signatures keep SIG_BITS bits beyond their bucket: equal ones by chance cost a comparison."""
+    sig, node = _distinct(sig >> U64(64 - SIG_BITS - bits), node)
     starts, lengths = _runs(sig)
     shared = np.repeat(lengths > 1, lengths)
     lead = np.zeros(len(sig), bool)
@@ -191,7 +211,7 @@ def _flush(sig: np.ndarray, node: np.ndarray, bits: int, spread: int) -> Iterato
     for told in (False, True):
         pick = ~shared if not told else lead & shared
         s, n = sig[pick], node[pick]
-        at = (s >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
+        at = (s >> U64(SIG_BITS)).astype(np.int64)
         cut = np.searchsorted(at, np.arange((1 << bits) + 1))
         rows += [_pack(b, told, s[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut)).tolist()]
     for i in range(0, len(rows), 256):
@@ -229,7 +249,7 @@ def _emit(k: int, limits, instances, bits: int):
 def _live(table: pa.Table) -> pa.Table:
     """(sig, node) of the signatures of a bucket that two sets share; the members of one
     that are told live elsewhere come from there."""
-    sigs, nodes = ([np.frombuffer(x, U64) for x in table.column(c).to_pylist()] for c in ("sigs", "nodes"))
+    sigs, nodes = _unpack(table)
     told = table.column("live").to_pylist()
     if table.column("bucket")[0].as_py() < 0:
         sig, node = np.concatenate(sigs), np.concatenate(nodes)
@@ -243,34 +263,112 @@ def _live(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(sig.view(np.int64)), "node": pa.array(node.view(np.int64))})
 
 
-def _texts_to_sets(k: int):
+def _texts_to_sets(k: int, short: bool):
+    """Full sets, or short ones: the leading 16 or 24 bits of each hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = _sets(Words(part.column("text"), lower=True), k)
+            if short:
+                packed = []
+                for s in sets:
+                    if len(s) <= SMALL:
+                        packed.append((s >> U64(48)).astype("<u2").tobytes())
+                    else:  # the leading byte apart: sorted, it compresses
+                        packed.append((s >> U64(56)).astype(np.uint8).tobytes() + (s >> U64(40)).astype("<u2").tobytes())
+            else:
+                packed = [s.tobytes() for s in sets]
+            yield pa.record_batch({"node": part.column("node"), "hashes": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _spread(k: int, bits: int):
+    """32 leading bits of each shingle of each set, packed by bucket; a value that two sets here
+    share is sent on once, as told."""
+
+    def flush(value: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        value, node = _distinct(value, node)
+        starts, lengths = _runs(value)
+        once = np.repeat(lengths == 1, lengths)
+        lead = np.zeros(len(value), bool)
+        lead[starts] = True
+        rows = []
+        for told in (False, True):
+            pick = once if not told else lead & ~once
+            v, n = value[pick], node[pick]
+            cut = np.searchsorted(v >> U64(32 - bits), np.arange((1 << bits) + 1))
+            rows += [_pack(b, told, v[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        for i in range(0, len(rows), 256):
+            yield _rows(rows[i : i + 256])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for part in slices(batches):
             sets = _sets(Words(part.column("text"), lower=True), k)
-            yield pa.record_batch({"node": part.column("node"), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+            sizes = [len(s) for s in sets]
+            if not sum(sizes):
+                continue
+            held.append((np.concatenate(sets) >> U64(32), np.repeat(np.asarray(part.column("node")).view(U64), sizes)))
+            n += len(held[-1][0])
+            if n >= FLUSH:
+                yield from flush(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield from flush(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _verify(pct: int):
-    """Keep the pairs whose sets have 100 * intersection >= pct * union."""
+def _alone(table: pa.Table) -> pa.Table:
+    """(node, alone): the number of values of a bucket that a set has alone."""
+    values, nodes = _unpack(table)
+    told = np.repeat(table.column("live").to_pylist(), [len(v) for v in values])
+    value, node = np.concatenate(values), np.concatenate(nodes)
+    order = np.argsort(value, kind="stable")
+    value, node, told = value[order], node[order], told[order]
+    starts, lengths = _runs(value)
+    names, counts = np.unique(node[starts[(lengths == 1) & ~told[starts]]], return_counts=True)
+    return pa.table({"node": pa.array(names.view(np.int64)), "alone": pa.array(counts.astype(np.int64))})
+
+
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """A sorted array with equal values told apart by their number."""
+    starts, lengths = _runs(x)
+    return x * U64(1 << 20) + (np.arange(len(x)) - np.repeat(starts, lengths)).astype(U64)
+
+
+def _read_short(raw: pa.Scalar, n: int) -> tuple[np.ndarray, int]:
+    buffer = raw.as_buffer()
+    if n <= SMALL:
+        return np.frombuffer(buffer, "<u2").astype(U64), 16
+    return np.frombuffer(buffer, np.uint8, n).astype(U64) << U64(16) | np.frombuffer(buffer.to_pybytes()[n:], "<u2").astype(U64), 24
+
+
+def _verify(pct: int, short: bool):
+    """Keep the pairs whose sets have 100 * intersection >= pct * union.
+
+    short: of sets cut to some bits, whose intersection is never smaller than the true one:
+    keeps all such pairs, and few others.
+    """
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cols = zip(batch.column("set_a"), batch.column("set_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)
+        for x, y, n, m in cols:
+            if not short:
+                yield np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                continue
+            (u, b), (v, c) = _read_short(x, n), _read_short(y, m)
+            yield _numbered(u >> U64(b - min(b, c))), _numbered(v >> U64(c - min(b, c)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            last, left = None, None
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
-                if a != last:
-                    last, left = a, np.frombuffer(x.as_buffer(), U64)
-                right = np.frombuffer(y.as_buffer(), U64)
-                n = len(left) + len(right)
-                if min(len(left), len(right)) * 100 < pct * max(len(left), len(right)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate((left, right))
+            for x, y in pairs(batch):
+                both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= pct * (n - common))
+                keep.append(100 * common >= pct * (len(both) - common))
             yield pa.record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
 
     return run
@@ -304,64 +402,95 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
     bits = max(0, math.ceil(math.log2(max(1, total) / PER_BUCKET)))
     bits = max(bits, min(12, math.ceil(math.log2(partitions(spark)))))
 
-    packed = docs.mapInArrow(_emit(k, limits, instances, bits), "bucket int, live boolean, sigs binary, nodes binary")
+    packed = docs.mapInArrow(_emit(k, limits, instances, bits), _PACKED)
     live = work.keep(packed.groupBy("bucket").applyInArrow(_live, "sig long, node long"), "live")
 
-    suspects = work.keep(live.groupBy("node").agg(F.count("*").alias("degree")).join(nodes.select("node", "doc_id"), "node"), "suspects")
-    n = suspects.count()
-    wanted = suspects.select("node", "doc_id")
-    fetched = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id").select("node", "text")
-    sets = work.keep(fetched.mapInArrow(_texts_to_sets(k), "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    suspects = work.keep(live.groupBy("node").agg(F.count("*").alias("degree")).join(nodes, "node"), "suspects")
+
+    def texts(which: DataFrame) -> DataFrame:
+        wanted = which.select("node", "doc_id")
+        wanted = F.broadcast(wanted) if which.count() <= BROADCAST_IDS else wanted
+        return docs.join(wanted, "doc_id").select("node", "text")
 
-    edges = work.keep(_resolve(live.distinct(), suspects, sets, pct, work), "links")
+    def fetch(which: DataFrame, name: str, short: bool) -> DataFrame:
+        sets = texts(which).mapInArrow(_texts_to_sets(k, short), "node long, hashes binary").dropDuplicates(["node"])
+        return work.keep(sets.join(nodes.select("node", "n"), "node"), name)
+
+    # no set shares a shingle that it has alone among the suspects
+    total = suspects.agg(F.sum("n")).first()[0] or 0
+    bits = min(12, max(math.ceil(math.log2(max(1, total) / PER_BUCKET)), math.ceil(math.log2(partitions(spark)))))
+    alone = texts(suspects).mapInArrow(_spread(k, bits), _PACKED).groupBy("bucket").applyInArrow(_alone, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
+    suspects = work.keep(suspects.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"), "weighed")
+    edges = work.keep(_resolve(live, suspects, fetch, pct, work), "links")
     roots = components(edges, work)
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = work.keep(named.join(lowest, "root").select("node", "component_id"), "of_node")
-    work.drop("live", "sets", "suspects", "links")
+    work.drop("live", "suspects", "weighed", "links")
     return digest.join(of_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _resolve(live: DataFrame, suspects: DataFrame, sets: DataFrame, pct: int, work: Workspace) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, pct: int, short: bool) -> DataFrame:
+    """The pairs (a, b) that pass; few pairs go to the sets, many meet them in a shuffle."""
+    small = pairs.count() <= BROADCAST_IDS
+    side = lambda e: sets.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("hashes").alias(f"set_{e}"))
+    left = side("a").join(F.broadcast(pairs) if small else pairs, "a")
+    return left.join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_verify(pct, short), "a long, b long")
+
+
+def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Workspace) -> DataFrame:
     """Verified links (a, b) that connect whatever linked sets share a signature.
 
-    A star round compares each member of a signature with one other member, of highest
-    degree first. Signatures whose members are in one component then are done. The last round
-    compares all members of the rest that are still in different components and were not
-    compared, so that no connection is lost.
+    A star round compares each member of a signature with one other member, in the first of
+    highest degree, while such rounds find links. Signatures whose members are in one
+    component then are done. The last round compares all members of the rest that are still in different components and were
+    not compared, so that no connection is lost. Sizes rule out pairs first, then short
+    sets; what passes is compared in full.
     """
-    check = lambda pairs: pairs.join(sets.withColumnsRenamed({"node": "a", "hashes": "set_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "set_b"}), "b").mapInArrow(_verify(pct), "a long, b long")
-    members = live.join(suspects.select("node", "degree"), "node")
+    members = live.join(suspects.select("node", "degree", "n", "most"), "node")
+    # most bounds any intersection of a set, and so its similarity to sets of the sizes that share the signature
+    least = members.groupBy("sig").agg(F.min("n").alias("low"))
+    bound = F.expr(f"100 * most >= {pct} * (n + greatest(low, most) - most)")
+    members = work.keep(members.join(least, "sig").where(bound).drop("low"), "members")
+    short = fetch(suspects.join(members.select("node").distinct(), "node", "left_semi"), "short", True)
     done = links = None
-    comp = None
+    tried = won = 0
     for r in range(STAR_ROUNDS + 1):
         if r:
             comp = components(links, work, f"cc-{r}")
-            open_ = members.join(comp, "node", "left").select("sig", "node", "degree", F.coalesce("root", "node").alias("root"))
+            open_ = members.join(comp, "node", "left").select("sig", "node", "degree", "n", "most", F.coalesce("root", "node").alias("root"))
             unsettled = open_.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
             open_ = work.keep(open_.join(unsettled, "sig", "left_semi"), f"open-{r}")
-            members = open_.select("sig", "node", "degree")
-            size = open_.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
-            left, rows = size.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.sum("n")).first()
+            members = open_.drop("root")
+            size = open_.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+            left, rows = size.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
             if not rows:
                 break
         else:
             open_ = members.withColumn("root", F.col("node"))
             left = rows = 0
-        last = r == STAR_ROUNDS or (r and left <= 8 * rows)
+        last = r == STAR_ROUNDS or (r and (left <= 8 * rows or tried > 50 * won))
         if last:
-            o = open_.select("sig", F.col("node").alias("n2"), F.col("root").alias("r2"))
-            pairs = open_.join(o, "sig").where("node < n2 and root <> r2").select(F.col("node").alias("a"), F.col("n2").alias("b"))
+            x = open_.select("sig", "node", "n", "most", "root")
+            y = x.withColumnsRenamed({"node": "node2", "n": "n2", "most": "most2", "root": "root2"})
+            pairs = x.join(y, "sig").where("node < node2 and root <> root2")
         else:
-            # in round r the lead is the r-th best by another order, so that rounds differ
-            order = F.struct("degree", "node") if not r else F.struct(F.xxhash64("node", F.lit(r)).alias("degree"), "node")
-            lead = open_.groupBy("sig").agg(F.max(F.struct(order.alias("o"), "root")).alias("l")).select("sig", F.col("l.o.node").alias("lead"), F.col("l.root").alias("lroot"))
-            pairs = open_.join(lead, "sig").where("node <> lead and root <> lroot").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-        pairs = pairs.distinct()
+            # later rounds take leads in another order
+            order = F.col("degree") if not r else F.xxhash64("node", F.lit(r))
+            lead = open_.groupBy("sig").agg(F.max(F.struct(order.alias("o"), "node", "n", "most", "root")).alias("l"))
+            lead = lead.select("sig", *(F.col(f"l.{c}").alias(f"{c}2") for c in ("node", "n", "most", "root")))
+            pairs = open_.join(lead, "sig").where("node <> node2 and root <> root2")
+        pairs = pairs.where(f"100 * least(most, most2) >= {pct} * (n + n2 - least(most, most2))")
+        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = work.keep(pairs, f"pairs-{r}")
-        found = work.keep(check(pairs), f"found-{r}")
+        likely = work.keep(_compare(pairs, short, pct, True), f"likely-{r}")
+        ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        full = fetch(suspects.join(ends, "node", "left_semi"), f"full-{r}", False)
+        found = work.keep(_compare(likely, full, pct, False), f"found-{r}")
+        work.drop(f"full-{r}")
+        tried, won = pairs.count(), found.count()
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         if last:

@@ -63,6 +63,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(_read(spark, sf_dir, "documents"), window=35)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op2_packing, op3_bpe, op4_license_scan, op5_chat, op6_toxicity, op7_ann, op8_host_rules, op9_quality_fm, op10_substring_dedup)
+    found = (op1_ngram_jaccard_join, op2_packing, op3_bpe, op4_license_scan, op5_chat, op6_toxicity, op7_ann, op8_host_rules, op9_quality_fm, op10_substring_dedup, pipeline)
     return {f.__name__: f for f in found}
