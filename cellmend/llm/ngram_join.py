@@ -32,11 +32,11 @@ from .store import Workspace, partitions
 from .textvec import U64, Words, mix, slices
 
 #: Signatures that a mapper holds before it sends them on, and that a reducer is meant to get.
-FLUSH, PER_BUCKET = 1 << 19, 1 << 19
+FLUSH, PER_BUCKET = 1 << 20, 1 << 21
 #: Bits of a signature beyond those of its bucket.
 SIG_BITS = 40
-#: Sets of at most so many shingles are first compared on 16 bits of each, larger ones on 24.
-SMALL = 600
+#: Columns of a set's sketch.
+SKETCH = [f"p{i}" for i in range(8)]
 #: Rows of (doc_id) that are broadcast at most; above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 4
@@ -74,7 +74,9 @@ def plan(sizes: list[tuple[int, int]], pct: int) -> tuple[list[tuple[int, int]],
         limits.append((low, low * 100 // pct))
         low = limits[-1][1] + 1
     count = dict(sizes)
-    out = []
+    out: list[Instance] = []
+    if top < 0:
+        return limits, out
     for j in range(top + 2):
         low, high = limits[max(0, j - 1)][0], limits[min(j, top)][1]
         n = count.get(j - 1, 0) + count.get(j, 0)
@@ -117,11 +119,24 @@ def _digests(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = _sets(Words(part.column("text"), lower=True), k)
-            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(_node(sets).view(np.int64))})
+            bits = _sketches(sets)
+            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(_node(sets).view(np.int64))} | {c: pa.array(bits[:, i].copy()) for i, c in enumerate(SKETCH)})
 
     return run
 
 
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """512 bits of each set: the parities of the numbers of its shingles in 512 classes.
+
+    Two sets' sketches differ in at most as many bits as the sets in shingles.
+    """
+    sizes = [len(s) for s in sets]
+    flat = mix(np.concatenate(sets), 12) if sum(sizes) else np.zeros(0, U64)
+    cell = np.repeat(np.arange(len(sets)) * 512, sizes) + (flat >> U64(55)).astype(np.int64)
+    odd = np.bincount(cell, minlength=512 * len(sets)).reshape(len(sets), 512) & 1
+    return np.packbits(odd.astype(bool), axis=1).view("<i8")
+
+
 def signatures(sets: list[np.ndarray], limits: list[tuple[int, int]], instances: list[Instance]) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of each (non-empty) set, and the index of the set of each."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -263,22 +278,27 @@ def _live(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(sig.view(np.int64)), "node": pa.array(node.view(np.int64))})
 
 
-def _texts_to_sets(k: int, short: bool):
-    """Full sets, or short ones: the leading 16 or 24 bits of each hash."""
-
+def _texts_to_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = _sets(Words(part.column("text"), lower=True), k)
-            if short:
-                packed = []
-                for s in sets:
-                    if len(s) <= SMALL:
-                        packed.append((s >> U64(48)).astype("<u2").tobytes())
-                    else:  # the leading byte apart: sorted, it compresses
-                        packed.append((s >> U64(56)).astype(np.uint8).tobytes() + (s >> U64(40)).astype("<u2").tobytes())
-            else:
-                packed = [s.tobytes() for s in sets]
-            yield pa.record_batch({"node": part.column("node"), "hashes": pa.array(packed, pa.binary())})
+            yield pa.record_batch({"node": part.column("node"), "hashes": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    return run
+
+
+def _verify(pct: int):
+    """Keep the pairs whose sets have 100 * intersection >= pct * union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                both = np.concatenate((np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)))
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= pct * (len(both) - common))
+            yield pa.record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
 
     return run
 
@@ -320,58 +340,32 @@ def _spread(k: int, bits: int):
     return run
 
 
-def _alone(table: pa.Table) -> pa.Table:
-    """(node, alone): the number of values of a bucket that a set has alone."""
-    values, nodes = _unpack(table)
-    told = np.repeat(table.column("live").to_pylist(), [len(v) for v in values])
-    value, node = np.concatenate(values), np.concatenate(nodes)
-    order = np.argsort(value, kind="stable")
-    value, node, told = value[order], node[order], told[order]
-    starts, lengths = _runs(value)
-    names, counts = np.unique(node[starts[(lengths == 1) & ~told[starts]]], return_counts=True)
-    return pa.table({"node": pa.array(names.view(np.int64)), "alone": pa.array(counts.astype(np.int64))})
-
-
-def _numbered(x: np.ndarray) -> np.ndarray:
-    """A sorted array with equal values told apart by their number."""
-    starts, lengths = _runs(x)
-    return x * U64(1 << 20) + (np.arange(len(x)) - np.repeat(starts, lengths)).astype(U64)
+def _alone(groups: int):
+    """The number of values of a bucket that each set has alone, packed by groups of sets."""
 
+    def run(table: pa.Table) -> pa.Table:
+        values, nodes = _unpack(table)
+        told = np.repeat(table.column("live").to_pylist(), [len(v) for v in values])
+        value, node = np.concatenate(values), np.concatenate(nodes)
+        order = np.argsort(value, kind="stable")
+        value, node, told = value[order], node[order], told[order]
+        starts, lengths = _runs(value)
+        names, counts = np.unique(node[starts[(lengths == 1) & ~told[starts]]], return_counts=True)
+        group = (names % U64(groups)).astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        names, counts, group = names[by], counts[by].astype("<u4"), group[by]
+        head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+        cuts = list(zip(head.tolist(), [*head[1:].tolist(), len(group)], strict=True)) if len(head) else []
+        return pa.table({"part": pa.array(group[head].astype(np.int32)), "names": pa.array([names[a:b].tobytes() for a, b in cuts], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary())})
 
-def _read_short(raw: pa.Scalar, n: int) -> tuple[np.ndarray, int]:
-    buffer = raw.as_buffer()
-    if n <= SMALL:
-        return np.frombuffer(buffer, "<u2").astype(U64), 16
-    return np.frombuffer(buffer, np.uint8, n).astype(U64) << U64(16) | np.frombuffer(buffer.to_pybytes()[n:], "<u2").astype(U64), 24
+    return run
 
 
-def _verify(pct: int, short: bool):
-    """Keep the pairs whose sets have 100 * intersection >= pct * union.
-
-    short: of sets cut to some bits, whose intersection is never smaller than the true one:
-    keeps all such pairs, and few others.
-    """
-
-    def pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cols = zip(batch.column("set_a"), batch.column("set_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)
-        for x, y, n, m in cols:
-            if not short:
-                yield np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                continue
-            (u, b), (v, c) = _read_short(x, n), _read_short(y, m)
-            yield _numbered(u >> U64(b - min(b, c))), _numbered(v >> U64(c - min(b, c)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in pairs(batch):
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= pct * (len(both) - common))
-            yield pa.record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
-
-    return run
+def _sum_alone(table: pa.Table) -> pa.Table:
+    names = np.frombuffer(b"".join(table.column("names").to_pylist()), U64)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
+    distinct, which = np.unique(names, return_inverse=True)
+    return pa.table({"node": pa.array(distinct.view(np.int64)), "alone": pa.array(np.bincount(which, counts, len(distinct)).astype(np.int64))})
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | None = None) -> DataFrame:
@@ -382,14 +376,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
     document's set: equal sets, equal node. A text of fewer than k words is one shingle;
     a null or wordless text has no shingle, n_shingles 0 and is linked with nothing, its
     component being itself. Rows repeating a doc_id stay separate rows of one document.
-    A row with a null doc_id stays: its component is that of its set, or null if it is
-    alone. Other columns of ``docs`` are not read.
+    A row with a null doc_id stays: its component is that of its set, and a set that only
+    such rows have is linked with nothing and has none. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = work.keep(docs.mapInArrow(_digests(k), "doc_id long, n_shingles long, node long"), "digest")
-    nodes = work.keep(digest.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
+    digest = work.keep(docs.mapInArrow(_digests(k), "doc_id long, n_shingles long, node long" + "".join(f", {c} long" for c in SKETCH)), "digest")
+    nodes = work.keep(digest.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in SKETCH)), "nodes")
 
     largest = nodes.agg(F.max("n")).first()[0] or 0
     limits = bands(largest, pct)
@@ -399,8 +393,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
     total = 0
     for b, n in sizes:
         total += n * sum(i.n1 * math.comb(i.n2, i.k2) for i in instances[b : b + 2])
-    bits = max(0, math.ceil(math.log2(max(1, total) / PER_BUCKET)))
-    bits = max(bits, min(12, math.ceil(math.log2(partitions(spark)))))
+    bits = min(20, max(3, math.ceil(math.log2(max(1, total) / PER_BUCKET))))
 
     packed = docs.mapInArrow(_emit(k, limits, instances, bits), _PACKED)
     live = work.keep(packed.groupBy("bucket").applyInArrow(_live, "sig long, node long"), "live")
@@ -412,55 +405,70 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
         wanted = F.broadcast(wanted) if which.count() <= BROADCAST_IDS else wanted
         return docs.join(wanted, "doc_id").select("node", "text")
 
-    def fetch(which: DataFrame, name: str, short: bool) -> DataFrame:
-        sets = texts(which).mapInArrow(_texts_to_sets(k, short), "node long, hashes binary").dropDuplicates(["node"])
-        return work.keep(sets.join(nodes.select("node", "n"), "node"), name)
+    def fetch(which: DataFrame, name: str) -> DataFrame:
+        return work.keep(texts(which).mapInArrow(_texts_to_sets(k), "node long, hashes binary").dropDuplicates(["node"]), name)
+
+    def weigh(which: DataFrame) -> DataFrame:
+        """(node, most): how many of a set's shingles some other set of ``which`` has too."""
+        which = suspects.join(which, "node", "left_semi")
+        n, total = which.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        bits = min(20, max(3, math.ceil(math.log2(max(1, total) / PER_BUCKET))))
+        counts = texts(which).mapInArrow(_spread(k, bits), _PACKED).groupBy("bucket").applyInArrow(_alone(n // 50_000 + 1), "part int, names binary, counts binary")
+        alone = counts.groupBy("part").applyInArrow(_sum_alone, "node long, alone long")
+        return work.keep(which.join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "weighed")
 
-    # no set shares a shingle that it has alone among the suspects
-    total = suspects.agg(F.sum("n")).first()[0] or 0
-    bits = min(12, max(math.ceil(math.log2(max(1, total) / PER_BUCKET)), math.ceil(math.log2(partitions(spark)))))
-    alone = texts(suspects).mapInArrow(_spread(k, bits), _PACKED).groupBy("bucket").applyInArrow(_alone, "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
-    suspects = work.keep(suspects.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"), "weighed")
-    edges = work.keep(_resolve(live, suspects, fetch, pct, work), "links")
+    edges = work.keep(_resolve(live, suspects, fetch, weigh, pct, work), "links")
     roots = components(edges, work)
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = work.keep(named.join(lowest, "root").select("node", "component_id"), "of_node")
-    work.drop("live", "suspects", "weighed", "links")
-    return digest.join(of_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    work.drop("live", "suspects", "links")
+    return digest.drop(*SKETCH).join(of_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, pct: int, short: bool) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) that pass; few pairs go to the sets, many meet them in a shuffle."""
     small = pairs.count() <= BROADCAST_IDS
-    side = lambda e: sets.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("hashes").alias(f"set_{e}"))
+    side = lambda e: sets.select(F.col("node").alias(e), F.col("hashes").alias(f"set_{e}"))
     left = side("a").join(F.broadcast(pairs) if small else pairs, "a")
-    return left.join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_verify(pct, short), "a long, b long")
+    return left.join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(pct), "a long, b long")
+
+
+def _possible(pct: int, x: str = "", y: str = "2") -> str:
+    """May two sets, by their sizes, shareable shingles and sketches, be similar enough?"""
+    apart = " + ".join(f"bit_count({c}{x} ^ {c}{y})" for c in SKETCH)
+    most = f"least(most{x}, most{y})"
+    return f"100 * {most} >= {pct} * (n{x} + n{y} - {most}) AND ({apart}) * {100 + pct} <= (n{x} + n{y}) * {100 - pct}"
 
 
-def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Workspace) -> DataFrame:
+def _resolve(live: DataFrame, suspects: DataFrame, fetch, weigh, pct: int, work: Workspace) -> DataFrame:
     """Verified links (a, b) that connect whatever linked sets share a signature.
 
     A star round compares each member of a signature with one other member, in the first of
     highest degree, while such rounds find links. Signatures whose members are in one
-    component then are done. The last round compares all members of the rest that are still in different components and were
-    not compared, so that no connection is lost. Sizes rule out pairs first, then short
-    sets; what passes is compared in full.
+    component then are done. The last round compares all members of the rest that are still
+    in different components and were not compared, so that no connection is lost. Sizes,
+    shingles that a set has alone and sketches rule out most pairs; what they pass is
+    compared in full.
     """
-    members = live.join(suspects.select("node", "degree", "n", "most"), "node")
-    # most bounds any intersection of a set, and so its similarity to sets of the sizes that share the signature
-    least = members.groupBy("sig").agg(F.min("n").alias("low"))
-    bound = F.expr(f"100 * most >= {pct} * (n + greatest(low, most) - most)")
-    members = work.keep(members.join(least, "sig").where(bound).drop("low"), "members")
-    short = fetch(suspects.join(members.select("node").distinct(), "node", "left_semi"), "short", True)
+    members = live.join(suspects.select("node", "degree", "n"), "node")
+    facts = suspects.select("node", "n", F.col("n").alias("most"), *SKETCH)
     done = links = None
     tried = won = 0
     for r in range(STAR_ROUNDS + 1):
         if r:
             comp = components(links, work, f"cc-{r}")
-            open_ = members.join(comp, "node", "left").select("sig", "node", "degree", "n", "most", F.coalesce("root", "node").alias("root"))
-            unsettled = open_.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-            open_ = work.keep(open_.join(unsettled, "sig", "left_semi"), f"open-{r}")
+            open_ = members.join(comp, "node", "left").select("sig", "node", "degree", "n", F.coalesce("root", "node").alias("root"))
+            # of two members, the first round has compared the pair
+            unsettled = open_.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.min("n").alias("low")).where("x <> y and c > 2").select("sig", "low")
+            open_ = work.keep(open_.join(unsettled, "sig"), f"open-{r}")
+            if r == 1:
+                most = weigh(open_.select("node").distinct())
+                facts = suspects.join(most, "node").select("node", "n", "most", *SKETCH)
+                # most bounds any intersection of a set, and so its similarity to sets of the sizes that share the signature
+                bound = F.expr(f"100 * most >= {pct} * (n + greatest(low, most) - most)")
+                open_ = work.keep(open_.join(most, "node").where(bound).drop("most"), "weighty")
+            open_ = open_.drop("low")
             members = open_.drop("root")
             size = open_.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
             left, rows = size.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
@@ -471,24 +479,27 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
             left = rows = 0
         last = r == STAR_ROUNDS or (r and (left <= 8 * rows or tried > 50 * won))
         if last:
-            x = open_.select("sig", "node", "n", "most", "root")
-            y = x.withColumnsRenamed({"node": "node2", "n": "n2", "most": "most2", "root": "root2"})
-            pairs = x.join(y, "sig").where("node < node2 and root <> root2")
+            x = open_.select("sig", "node", "root").join(facts, "node")
+            y = x.select("sig", *(F.col(c).alias(f"{c}2") for c in x.columns if c != "sig"))
+            pairs = x.join(y, "sig").where("node < node2 and root <> root2").where(_possible(pct))
         else:
             # later rounds take leads in another order
             order = F.col("degree") if not r else F.xxhash64("node", F.lit(r))
-            lead = open_.groupBy("sig").agg(F.max(F.struct(order.alias("o"), "node", "n", "most", "root")).alias("l"))
-            lead = lead.select("sig", *(F.col(f"l.{c}").alias(f"{c}2") for c in ("node", "n", "most", "root")))
+            lead = open_.groupBy("sig").agg(F.max(F.struct(order.alias("o"), "node", "root")).alias("l"))
+            lead = lead.select("sig", F.col("l.node").alias("node2"), F.col("l.root").alias("root2"))
             pairs = open_.join(lead, "sig").where("node <> node2 and root <> root2")
-        pairs = pairs.where(f"100 * least(most, most2) >= {pct} * (n + n2 - least(most, most2))")
         pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = work.keep(pairs, f"pairs-{r}")
-        likely = work.keep(_compare(pairs, short, pct, True), f"likely-{r}")
+        likely = pairs
+        if not last:
+            for e in "ab":
+                likely = likely.join(facts.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("n", "most", *SKETCH))), e)
+            likely = work.keep(likely.where(_possible(pct, "_a", "_b")).select("a", "b"), f"likely-{r}")
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        full = fetch(suspects.join(ends, "node", "left_semi"), f"full-{r}", False)
-        found = work.keep(_compare(likely, full, pct, False), f"found-{r}")
+        full = fetch(suspects.join(ends, "node", "left_semi"), f"full-{r}")
+        found = work.keep(_compare(likely, full, pct), f"found-{r}")
         work.drop(f"full-{r}")
         tried, won = pairs.count(), found.count()
         links = found if links is None else links.unionByName(found)
