@@ -32,7 +32,7 @@ from .store import Workspace, partitions
 from .textvec import U64, Words, mix, slices
 
 #: Signatures that a mapper holds before it sends them on, and that a reducer is meant to get.
-FLUSH, PER_BUCKET = 1 << 20, 1 << 21
+FLUSH, PER_BUCKET = 3 << 18, 1 << 21
 #: Bits of a signature beyond those of its bucket.
 SIG_BITS = 40
 #: Columns of a set's sketch.
