@@ -34,7 +34,7 @@ BLOCK = 20_000
 #: Large buckets whose split is sent to all tasks at most.
 HOT_BUCKETS = 100_000
 #: (projections, width) choices for each table.
-CHOICES = ((4, 1.2), (5, 1.4), (6, 1.6), (6, 1.2), (8, 1.8))
+CHOICES = ((4, 1.2), (5, 1.4), (6, 1.6), (6, 1.2))
 TABLES = 6
 
 
@@ -197,7 +197,7 @@ def fit(base: DataFrame, queries: DataFrame, k: int, dimension: int, largest: fl
             step = tables.cells(x)[0] - cells[who]
             ok = (np.abs(step) <= 1).all(axis=2)
             at = np.where(ok, ((np.clip(step, -1, 1) + 1) * weight).sum(axis=2), 0)
-            return np.where(ok, np.take_along_axis(rank[who], at[:, :, None], 2)[:, :, 0], 1 << 30)
+            return np.where(ok, rank[who[:, None], np.arange(TABLES)[None, :], at], 1 << 30)
 
         need = np.sort(reach(near, owner).min(axis=1))
         probes = int(need[int(np.ceil(target * len(need))) - 1]) + 1
@@ -217,8 +217,8 @@ def _deal(tables: Tables, dimension: int, largest: float, query: bool, parts: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256 if query else 4096):
-                batch = whole.slice(at, 256 if query else 4096)
+            for at in range(0, whole.num_rows, 64 if query else 1024):
+                batch = whole.slice(at, 64 if query else 1024)
                 ids, raw = np.asarray(batch.column("vec_id")), _matrix(batch.column("vector"), dimension)
                 lifted = lift(raw, largest, query)
                 keys = (tables.probe_keys(lifted) if query else tables.keys(tables.cells(lifted)[0])).reshape(len(ids), -1)
@@ -306,8 +306,8 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
     def keys_of(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    x = lift(_matrix(whole.slice(at, 256).column("vector"), dimension), largest, query)
+                for at in range(0, whole.num_rows, 64):
+                    x = lift(_matrix(whole.slice(at, 64).column("vector"), dimension), largest, query)
                     keys, n = np.unique(tables.probe_keys(x) if query else tables.keys(tables.cells(x)[0]), return_counts=True)
                     yield pa.record_batch({"key": pa.array(keys.view(np.int64)), "x": pa.array(np.zeros(len(n), np.int64) if query else n), "q": pa.array(n if query else np.zeros(len(n), np.int64))})
 
