@@ -214,6 +214,44 @@ def test_licence_units_equal_plain_search():
         assert max((f[0] for f in found.get(d, [])), default=0.0) == pytest.approx(best if best >= 0.6 else 0.0)
 
 
+def test_licences_within_longer_texts(spark):
+    """A notice of three paragraphs in a long document, one within a line, full texts; two in one line are two."""
+    rnd = random.Random(4)
+    mit = license_scan.TEMPLATES["MIT"][2]
+    for cut in ("The above copyright", "THE SOFTWARE IS"):
+        mit = mit.replace(cut, "\n\n" + cut)
+    full = license_scan.TEMPLATES["GPL-3.0"][-1]
+    rows = [
+        (0, f"{prose(rnd, 200)}\n\n{mit}\n\n{prose(rnd, 200)}"),
+        (1, "Copyright 2020 Foo Bar. Released under the MIT License."),
+        (2, f"{prose(rnd, 50)} Licensed under CC0 1.0. {prose(rnd, 50)} Released under the ISC License. {prose(rnd, 50)}"),
+        (3, f"{prose(rnd, 300)}\n{full}\n{prose(rnd, 300)}"),
+        (4, f"{prose(rnd, 30)} under the license of the software {prose(rnd, 30)}"),
+    ]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[0]["license"], got[0]["unit"], got[0]["score"], got[0]["n_units"]) == ("MIT", "window", 1.0, 1)
+    assert (got[1]["license"], got[1]["unit"], got[1]["score"], got[1]["n_units"]) == ("MIT", "window", 1.0, 1)
+    assert got[2]["licenses"] == ["CC0-1.0", "ISC"] and got[2]["n_units"] == 2
+    assert got[3]["license"] == "GPL-3.0" and got[3]["score"] == 1.0
+    assert got[4]["license"] is None and got[4]["n_units"] == 0
+
+
+def test_licence_windows_equal_plain_search():
+    """The best of all runs of words against every template, without pruning."""
+    rnd = random.Random(8)
+    some = {"X": ["a b c d e"], "Y": ["c d a b", "b a b a c"], "Z": ["d"]}
+    texts = ["".join(rnd.choice(["a ", "b ", "c ", "d ", "e ", "\n"]) for _ in range(rnd.randint(0, 25))) for _ in range(150)]
+    for templates in (some, {"X": some["X"], "Y": some["Y"]}):
+        matcher = license_scan.Matcher(templates, 0.7)
+        words = license_scan.Words(license_scan._normal(pa.array(texts))[0])
+        found = license_scan.matched_windows(words, matcher, {})
+        grams = lambda w: set(zip(w, w[1:], strict=False)) or set(w)
+        for d, text in enumerate(texts):
+            w = text.split()
+            best = max((2 * len(a & b) / (len(a) + len(b)) for x in range(len(w)) for y in range(x + 1, len(w) + 1) for a in [grams(w[x:y])] for ts in templates.values() for t in ts for b in [grams(t.split())]), default=0.0)
+            assert max((f[0] for f in found.get(d, [])), default=0.0) == pytest.approx(best if best >= 0.7 else 0.0)
+
+
 def test_chat_reads_back(spark):
     rnd = random.Random(9)
     texts = ["</s>[INST] ok [/INST]", "\\", "\\[INST]", "", None, "a [TEXT] b", " x ", "\\\\</s>", "ü" * 50, "[ROLE] [SYS]", "<s>"]
