@@ -34,8 +34,8 @@ class Config:
     estimator: str = "naive_bayes"
     estimator_epochs: int = 3
     estimator_batch_size: int = 32
-    #: "exact": minibatches in cell order on the driver, for training sets of at most max_exact rows;
-    #: "distributed": full batches on the cluster; "auto": exact where it fits.
+    #: "auto" and "exact": minibatches in cell order on the driver, which holds about max_exact
+    #: feature rows at once (the results do not depend on it); "distributed": full batches on the cluster.
     trainer: str = "auto"
     max_exact: int = 2_000_000
     #: Pairs that a constraint without an equality may compare; beyond, its feature is 0 or 1.

@@ -117,19 +117,21 @@ def fit(features: DataFrame, domain: DataFrame, labels: DataFrame, infos: list[F
     """Train on the labelled cells.
 
     The exact trainer takes minibatches in order of _vid_ on the driver and leaves out a last batch
-    that is not full; it takes at most config.max_exact feature rows. The distributed
-    one takes the full gradient by partition, ``epochs`` times at a hundred times the rate.
+    that is not full. Of more than config.max_exact feature rows it holds one range of
+    cells at a time; the steps are the same. The distributed trainer takes the full gradient by
+    partition, ``epochs`` times at a hundred times the rate, and only where config.trainer asks for it.
     """
+    if config.trainer not in ("auto", "exact", "distributed"):
+        raise ValueError(f"trainer is auto, exact or distributed, not {config.trainer!r}")
     rows = packed(features, domain, labels).persist()
     try:
         n, size = rows.agg(F.count("*"), F.sum(F.size("feat"))).first()
         if not n:
             raise ValueError("no cell has a label to learn from: prune less")
-        exact = config.trainer == "exact" or (config.trainer == "auto" and (size or 0) <= config.max_exact)
-        if exact and (size or 0) > config.max_exact:
-            raise ValueError(f"{size} feature rows are too many for the exact trainer ({config.max_exact})")
         w, learn = initial_weights(infos, config.seed)
-        return (_exact if exact else _distributed)(rows, n, w, learn, infos, config)
+        if config.trainer == "distributed":
+            return _distributed(rows, n, w, learn, infos, config)
+        return _exact(rows, n, size or 0, w, learn, infos, config)
     finally:
         rows.unpersist()
 
@@ -141,20 +143,44 @@ def _norm_gradient(w: np.ndarray, g: np.ndarray) -> np.ndarray:
     return (g - u * (u @ g)) / length
 
 
-def _exact(rows, n, w, learn, infos, config) -> Weights:
-    table = rows.toArrow().sort_by("_vid_")
-    data = _Cells.of(table)
+def _ranges(rows: DataFrame, n: int) -> list:
+    """Conditions on _vid_ that part the cells into about ``n`` ranges of like number, in order."""
+    cuts = rows.agg(F.percentile_approx("_vid_", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
+    cuts = sorted(set(cuts))
+    v = F.col("_vid_")
+    return [v <= cuts[0], *((v > a) & (v <= b) for a, b in zip(cuts, cuts[1:], strict=False)), v > cuts[-1]]
+
+
+def _exact(rows, n, size, w, learn, infos, config) -> Weights:
     optimizer, history = _Optimizer(config, len(w)), []
     batch = min(config.batch_size, n)
-    for _ in range(config.epochs):
-        loss, right = 0.0, 0
-        for a in range(0, n - batch + 1, batch):
-            u = w / max(np.linalg.norm(w), 1e-12) if config.weight_norm else w
-            g, part, good = data.take(a, a + batch).gradient(u)
-            loss, right = loss + part, right + good
-            g = g / batch
-            optimizer.step(w, _norm_gradient(w, g) if config.weight_norm else g, learn)
-        history.append((loss / n, right / n))
+    whole = rows.toArrow().sort_by("_vid_") if size <= config.max_exact else None
+    parts, ordered = [None], rows
+    if whole is None:
+        parts = _ranges(rows, 2 * -(-size // config.max_exact))
+        ordered = rows.repartitionByRange(len(parts), "_vid_").sortWithinPartitions("_vid_").persist()
+    try:
+        for _ in range(config.epochs):
+            loss, right, left = 0.0, 0, None
+            for part in parts:
+                table = whole if whole is not None else ordered.where(part).toArrow().sort_by("_vid_")
+                if left is not None:
+                    table = pa.concat_tables([left, table])
+                full = table.num_rows // batch * batch
+                left = table.slice(full)
+                if not full:
+                    continue
+                data = _Cells.of(table.slice(0, full))
+                for a in range(0, full, batch):
+                    u = w / max(np.linalg.norm(w), 1e-12) if config.weight_norm else w
+                    g, part_loss, good = data.take(a, a + batch).gradient(u)
+                    loss, right = loss + part_loss, right + good
+                    g = g / batch
+                    optimizer.step(w, _norm_gradient(w, g) if config.weight_norm else g, learn)
+            history.append((loss / n, right / n))
+    finally:
+        if ordered is not rows:
+            ordered.unpersist()
     return Weights(w, infos, history)
 
 

@@ -148,6 +148,21 @@ def test_session_repairs_planted_errors(spark, planted, settings):
     s.close()
 
 
+@pytest.mark.parametrize("trainer", ["auto", "exact"])
+def test_training_does_not_depend_on_max_exact(spark, trainer):
+    """Ranges of cells give the same steps as all at once, whole batches across ranges included."""
+    rnd = random.Random(2)
+    cells = [(i * 3, ["a", "b", "c"][: rnd.randint(2, 3)], rnd.randint(0, 1)) for i in range(101)]
+    domain = spark.createDataFrame([(v, len(d)) for v, d, _ in cells], "_vid_ long, domain_size int")
+    labels = spark.createDataFrame([(v, y) for v, _, y in cells], "_vid_ long, label int")
+    rows = spark.createDataFrame([(v, i, f, rnd.random()) for v, d, _ in cells for i in range(len(d)) for f in range(4) if v % 5], "_vid_ long, val_idx int, feat int, x double")
+    infos = [features.FeatInfo("f", 4, True, 1.0, list("pqrs"))]
+    fits = [model.fit(rows, domain, labels, infos, Config.of(trainer=trainer, epochs=3, batch_size=8, learning_rate=0.05, max_exact=m)) for m in (1_000_000, 300)]
+    for other in fits[1:]:
+        assert other.w.tolist() == fits[0].w.tolist()
+        assert other.history == fits[0].history
+
+
 def test_repaired_keeps_rows_and_shows_real_nulls(spark):
     raw = spark.createDataFrame([(0, "a", "_nan_"), (1, "b", "y")], "_tid_ long, p string, q string")
     cells = spark.createDataFrame([(1, "p", "c")], "_tid_ long, attribute string, rv_value string")
