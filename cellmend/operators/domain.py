@@ -12,8 +12,8 @@ from ..sources.tables import cells
 from . import stats
 
 NOT_SET, WEAK_LABEL, SINGLE_VALUE = 0, 1, 2
-#: Values of an attribute that random candidates are drawn from.
-POOL = 64
+#: Values that are broadcast at most to the cells that draw them; above, the join shuffles.
+BROADCAST_VALUES = 200_000
 
 
 def active_attributes(dk_cells: DataFrame) -> list[str]:
@@ -39,24 +39,46 @@ def cell_candidates(raw: DataFrame, attributes: list[str], active: list[str], pr
     return own.join(found, [TID, "attribute"], "left").select(TID, "attribute", "init_value", F.array_sort(F.array_union(some, init)).alias("domain"))
 
 
-def value_pools(single: DataFrame, seed: int) -> DataFrame:
-    """(attribute, pool): up to POOL values of each attribute, those of smallest hash."""
-    order = Window.partitionBy("attribute").orderBy(F.xxhash64("value", F.lit(seed)), "value")
-    few = stats.frequencies(single).withColumn("r", F.row_number().over(order)).where(F.col("r") <= POOL)
-    return few.groupBy("attribute").agg(F.collect_list("value").alias("pool"))
+def numbered_values(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attribute, at, value): the values of each attribute numbered from 0, and (attribute, n_values).
+
+    Numbers go by hash buckets, so that no task sorts all values of an attribute.
+    """
+    values = stats.frequencies(single).select("attribute", "value", F.pmod(F.xxhash64("value"), F.lit(256)).alias("b"))
+    per = values.groupBy("attribute", "b").agg(F.count("*").alias("c"))  # 256 rows for each attribute at most
+    before = per.select("attribute", "b", (F.sum("c").over(Window.partitionBy("attribute").orderBy("b")) - F.col("c")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("attribute", "b").orderBy("value")) - 1 + F.col("before")
+    return values.join(F.broadcast(before), ["attribute", "b"]).select("attribute", at.alias("at"), "value"), per.groupBy("attribute").agg(F.sum("c").alias("n_values"))
+
+
+def drawn_values(lone: DataFrame, single: DataFrame, seed: int, k: int) -> DataFrame:
+    """(_cid_, drawn): for each cell ``k`` different values of its attribute, all of them where there are no more.
+
+    Every set of values is as likely (Floyd's sampling of their numbers, by a hash of seed, cell and step).
+    """
+    values, sizes = numbered_values(single)
+    values = F.broadcast(values) if stats.frequencies(single).count() <= BROADCAST_VALUES else values
+    n = F.col("n_values")
+    pick = lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("_cid_"), j), j + 1)
+    add = lambda have, j: F.concat(have, F.array(F.when(F.array_contains(have, pick(j)), j).otherwise(pick(j))))
+    steps = F.sequence(F.greatest(n - k, F.lit(0)), n - 1)
+    places = F.aggregate(steps, F.array().cast("array<bigint>"), add)
+    rows = lone.select("_cid_", "attribute").join(F.broadcast(sizes), "attribute")  # a row for each attribute
+    rows = rows.select("_cid_", "attribute", F.explode(places).alias("at"))
+    return rows.join(values, ["attribute", "at"]).groupBy("_cid_").agg(F.collect_set("value").alias("drawn"))
 
 
 def fill_domains(found: DataFrame, single: DataFrame, seed: int, max_sample: int) -> DataFrame:
     """Adds random values to domains of one candidate; ``fixed`` tells which.
 
     The value itself comes first, the sample sorted after it. Cells with neither value nor
-    candidates, and those for which there is nothing to draw, are left out. The draw is by a
-    hash of seed, cell and value, so it is the same in every run.
+    candidates, and those for which there is nothing to draw, are left out. Each cell draws from all
+    values of its attribute, by hashes of seed and cell, so the draw is the same in every run.
     """
-    pools = F.broadcast(value_pools(single, seed))  # POOL values for each attribute
-    rows = found.join(pools, "attribute", "left")
     alone = F.size("domain") <= 1
-    rest = F.array_except(F.coalesce("pool", F.array().cast("array<string>")), F.concat("domain", F.array("init_value")))
+    # two more than needed: the candidate and the value itself may be drawn
+    rows = found.join(drawn_values(found.where(F.size("domain") == 1), single, seed, max_sample + 2), "_cid_", "left")
+    rest = F.array_except(F.coalesce("drawn", F.array().cast("array<string>")), F.concat("domain", F.array("init_value")))
     drawn = F.transform(F.slice(F.array_sort(F.transform(rest, lambda v: F.struct(F.xxhash64(F.lit(seed), F.col("_cid_"), v).alias("h"), v.alias("v")))), 1, max_sample), lambda s: s["v"])
     rows = rows.withColumn("sample", F.when(alone, F.array_sort(drawn)))
     rows = rows.where(~alone | ((F.size("domain") == 1) & (F.size("sample") > 0)))

@@ -66,6 +66,23 @@ def test_domains_and_posterior(small):
     assert _by_cell(dom.reprune(filled, bayes.predict(filled), 0.0, 1, 0.95), "domain")[0, "City"] == ["a"]
 
 
+@pytest.mark.parametrize("limit", [200_000, 10])
+def test_random_candidates_come_from_all_values(spark, monkeypatch, limit):
+    monkeypatch.setattr(dom, "BROADCAST_VALUES", limit)
+    names = [f"v{i}" for i in range(300)] + ["only"]
+    single = spark.createDataFrame([("a", v, 2) for v in names[:-1]] + [("a", "_nan_", 9), ("b", "only", 1)], "attribute string, value string, n long")
+    found = spark.createDataFrame([(i, "a", 2 * i, names[i % 300], [names[i % 300]]) for i in range(600)] + [(0, "b", 1, "only", ["only"]), (700, "a", 1400, "_nan_", [])], "_tid_ long, attribute string, _cid_ long, init_value string, domain array<string>")
+    rows = {r["_cid_"]: r for r in dom.fill_domains(found, single, 45, 5).collect()}
+    assert sorted(rows) == [2 * i for i in range(600)]
+    seen = set()
+    for c, r in rows.items():
+        own, *sample = r["domain"]
+        assert own == names[c // 2 % 300] and len(sample) == 5 and sample == sorted(set(sample) - {own}) and r["fixed"] == dom.SINGLE_VALUE
+        seen |= set(sample)
+    assert len(seen) > 290 and seen <= set(names[:-1])
+    assert len({tuple(r["domain"][1:]) for r in rows.values()}) > 590
+
+
 def test_feature_values(small):
     domain = dom.initial_domain(_found(small).where("size(domain) > 0").withColumn("fixed", F.lit(0)))
 
