@@ -171,10 +171,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
 
 
 def fit(base: DataFrame, queries: DataFrame, k: int, dimension: int, largest: float, n: int, target: float) -> Tables:
-    """The cheapest tables and probes that find ``target`` of a query sample's true neighbours."""
+    """The cheapest tables and probes that find ``target`` of a query sample's true neighbours.
+
+    One bucket for all only where there are no more than ``k`` rows or no choice reaches the target.
+    """
     sample = [(r[0], r[1]) for r in queries.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE_QUERIES).collect()]
     flat = Tables.draw(dimension, 1, 1e12, 1)  # one bucket: every row is a candidate
-    if n <= 2 * k * SAMPLE_QUERIES or not sample:
+    if n <= k or not sample:
         return flat
     truth = exact_scan(base, sample, k, dimension).join(base, "vec_id").select("query_id", "vector").toArrow()  # k rows for each of the sample
     place = {q: i for i, (q, _) in enumerate(sample)}

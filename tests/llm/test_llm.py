@@ -276,6 +276,21 @@ def test_chat_reads_back(spark):
             assert chat.parse(w["text"])[0][0] == "system"
 
 
+def test_ann_hashes_small_tables(spark, monkeypatch):
+    """Tables are fitted and probed for 500 rows as for more, with the recall asked for."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20, 8))[rng.integers(0, 20, 500)] + 0.2 * rng.normal(size=(500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    fitted, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    found = {(r["query_id"], r["vec_id"]) for r in ann.search(df, "vec_id % 5 = 0", k=5).collect()}
+    assert fitted[0].a.shape[0] == ann.TABLES > 1
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    true = {(q, int(v)) for q in range(0, 500, 5) for v in np.argsort(-scores[q])[:5]}
+    assert len(found) == 500 and len(found & true) >= 0.9 * len(true)
+
+
 def test_host_rules_equal_brute_force(docs):
     got = host_rules.apply_rules(docs).collect()
     want = []
