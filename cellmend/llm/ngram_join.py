@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .graph import components
 from .store import Workspace, partitions
@@ -278,11 +279,19 @@ def _live(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(sig.view(np.int64)), "node": pa.array(node.view(np.int64))})
 
 
+def _wanted(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of the texts whose node is the one they were fetched for, and their nodes; a doc_id may have other texts."""
+    sets = _sets(Words(part.column("text"), lower=True), k)
+    node = np.asarray(part.column("node"))
+    at = np.flatnonzero(_node(sets).view(np.int64) == node)
+    return [sets[i] for i in at.tolist()], node[at]
+
+
 def _texts_to_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = _sets(Words(part.column("text"), lower=True), k)
-            yield pa.record_batch({"node": part.column("node"), "hashes": pa.array([x.tobytes() for x in sets], pa.binary())})
+            sets, node = _wanted(part, k)
+            yield pa.record_batch({"node": pa.array(node), "hashes": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     return run
 
@@ -325,11 +334,11 @@ def _spread(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for part in slices(batches):
-            sets = _sets(Words(part.column("text"), lower=True), k)
+            sets, node = _wanted(part, k)
             sizes = [len(s) for s in sets]
             if not sum(sizes):
                 continue
-            held.append((np.concatenate(sets) >> U64(32), np.repeat(np.asarray(part.column("node")).view(U64), sizes)))
+            held.append((np.concatenate(sets) >> U64(32), np.repeat(node.view(U64), sizes)))
             n += len(held[-1][0])
             if n >= FLUSH:
                 yield from flush(*map(np.concatenate, zip(*held, strict=True)))
@@ -421,9 +430,20 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
     roots = components(edges, work)
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = work.keep(named.join(lowest, "root").select("node", "component_id"), "of_node")
+    of_node = work.keep(named.join(lowest, "root").select("node", "component_id", "root"), "of_node")
     work.drop("live", "suspects", "links")
-    return digest.drop(*SKETCH).join(of_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return digest.drop(*SKETCH).join(of_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+
+
+def with_nodes(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with the node and n_shingles that jaccard_join gives each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = _sets(Words(part.column("text"), lower=True), k)
+            yield pa.record_batch([*part.columns, pa.array(_node(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int64())], [*part.schema.names, "node", "n_shingles"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("node", LongType()), StructField("n_shingles", LongType())]))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:

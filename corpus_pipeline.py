@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.llm import ngram_join, packing, quality_fm, substring, toxicity
@@ -60,11 +60,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents linked by five-word shingles at 0.8 the one of the smallest doc_id
     stays (of several rows of that id one row stays); documents without words stay."""
     work = Workspace(spark, "near")
-    linked = ngram_join.jaccard_join(docs, k=5, pct=80, work=work)
-    drop = work.keep(linked.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "drop")
+    linked = ngram_join.jaccard_join(docs, k=5, pct=80, work=work).where("n_shingles > 0")
+    if _repeats(docs):
+        # a doc_id may have texts of several groups: its rows are told apart by node
+        rows = work.keep(linked.select("doc_id", "node", "component_id", "root").distinct(), "rows")
+        stay = rows.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("node"))
+        drop = rows.select("doc_id", "node").join(stay, ["doc_id", "node"], "left_anti")
+        named = ngram_join.with_nodes(docs, 5)
+        kept = named.join(drop, (named["doc_id"].cast("long") == drop["doc_id"]) & (named["node"] == drop["node"]), "left_anti")
+        same = Window.partitionBy("doc_id", "node", F.when(F.col("n_shingles") == 0, F.col("text"))).orderBy("text")
+        return kept.withColumn("_r", F.row_number().over(same)).where("_r = 1").select(*docs.columns)
+    drop = work.keep(linked.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
     small = drop.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(drop) if small else drop, docs["doc_id"].cast("long") == drop["doc_id"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else kept
+    return docs.join(F.broadcast(drop) if small else drop, docs["doc_id"].cast("long") == drop["doc_id"], "left_anti")
 
 
 def _repeats(docs: DataFrame) -> bool:

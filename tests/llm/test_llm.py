@@ -87,6 +87,22 @@ def test_signatures_of_similar_sets_meet():
                 assert np.intersect1d(sig[who == 0], sig[who == 1]).size, size
 
 
+def test_rows_of_one_doc_id_with_other_texts(spark):
+    """Each row is compared by its own text, and the pipeline drops near copies row by row."""
+    import corpus_pipeline
+
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = lambda c: text[c] + " edit"
+    rows = [(1, text["a"]), (1, text["b"]), (2, near("b")), (2, text["c"]), (3, near("a")), (3, text["d"]), (4, near("c")), (4, near("d")), (5, text["a"]), (6, None), (7, near("d") + " too"), (8, text["c"] + " last"), (8, text["c"].upper() + " last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links = ngram_join.jaccard_join(df, 5, 80).where("n_shingles > 0").collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in links) == Counter([(1, 1), (1, 1), (2, 1), (2, 2), (3, 1), (3, 3), (4, 2), (4, 3), (5, 1), (7, 3), (8, 2), (8, 2)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, text["a"]), (1, text["b"]), (2, text["c"]), (3, text["d"]), (6, None)], key=str)
+    own = spark.createDataFrame([(1, text["a"]), (1, near("a")), (1, text["a"])], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, own, "").count() == 1
+
+
 def test_jaccard_join_of_empty_tables(spark, docs):
     assert ngram_join.jaccard_join(docs.limit(0)).count() == 0
     only = spark.createDataFrame([(1, None), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
