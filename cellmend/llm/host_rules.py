@@ -93,25 +93,27 @@ def document_stats(docs: DataFrame, window: int = 5) -> DataFrame:
 def host_verdicts(docs: DataFrame, max_rate: float = 0.5, least: int = 2) -> DataFrame:
     """(host, n_docs, n_failed, rate, host_kept) from rows (host, base_failed).
 
-    The prior is fitted by moments over the hosts of ``least`` documents or more: m is the
-    pooled rate, v the variance of the hosts' rates weighted by documents, less what sampling
-    adds; a + b = m(1 - m)/v - 1, held within [2, 1e6]. Without such a host, or where all
-    fail or none, the prior is m with strength 2. A null host is no host: it has no row.
+    The prior is fitted by moments: m is the pooled rate of all hosts, v the variance of the
+    rates of the hosts of ``least`` documents or more, weighted by documents, less what sampling
+    adds; a + b = m(1 - m)/v - 1, held within [2, 1e6]. Without two such hosts, or where all of
+    theirs fail or none, the prior is m with strength 2. A null host is no host: it has no row.
     """
     hosts = docs.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    seen = F.col("n_docs") >= least
+    seen = lambda x: F.sum(F.when(F.col("n_docs") >= least, x))
     # moments of all hosts are sums, so one row carries them
-    sums = hosts.where(seen).agg(
-        F.sum("n_docs").alias("sn"), F.sum("n_failed").alias("sx"), F.count("*").alias("h"),
-        F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("sxx"), F.sum(F.col("n_docs") * F.col("n_docs")).alias("snn"),
+    sums = hosts.agg(
+        F.sum("n_docs").alias("n"), F.sum("n_failed").alias("x"),
+        seen(F.col("n_docs")).alias("sn"), seen(F.col("n_failed")).alias("sx"), F.count_if(F.col("n_docs") >= least).alias("h"),
+        seen(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("sxx"), seen(F.col("n_docs") * F.col("n_docs")).alias("snn"),
     )
     s = sums.first()  # one row
-    m = s["sx"] / s["sn"] if s["sn"] else 0.0
+    m = s["x"] / s["n"] if s["n"] else 0.0
     strength = 2.0
-    if s["h"] > 1 and 0 < m < 1:
-        # between = sum n (p - m)^2; its mean is m(1 - m)(h - 1) + v (sn - snn/sn), v the variance of the true rates
+    if s["h"] > 1 and 0 < s["sx"] < s["sn"]:
+        # between = sum n (p - r)^2, r the rate of these hosts; its mean is r(1 - r)(h - 1) + v (sn - snn/sn), v the variance of the true rates
+        r = s["sx"] / s["sn"]
         between = s["sxx"] - s["sx"] ** 2 / s["sn"]
-        v = (between - m * (1 - m) * (s["h"] - 1)) / (s["sn"] - s["snn"] / s["sn"])
+        v = (between - r * (1 - r) * (s["h"] - 1)) / (s["sn"] - s["snn"] / s["sn"])
         strength = min(1e6, max(2.0, m * (1 - m) / v - 1)) if v > 0 else 1e6
     rate = (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
     return hosts.withColumn("rate", rate).select("host", "n_docs", "n_failed", "rate", (F.col("rate") <= max_rate).alias("host_kept"))

@@ -334,6 +334,14 @@ def test_bad_hosts_take_their_documents_along(spark):
     assert host_rules.apply_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_host_prior_counts_hosts_of_one_document(spark):
+    rows = [(f"h{i}", i % 4 > 0) for i in range(40)]
+    of = lambda rows: {r["host"]: r["rate"] for r in host_rules.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
+    assert of(rows)["h0"] == pytest.approx(0.75 * 2 / 3) and of(rows)["h1"] == pytest.approx((1 + 0.75 * 2) / 3)
+    # one larger host does not set the rate of the rest: 30 of 42 fail
+    assert of(rows + [("big", False)] * 2)["h0"] == pytest.approx(30 / 42 * 2 / 3)
+
+
 def labelled(spark, n=600):
     rnd = random.Random(4)
     rows, labels = [], []
