@@ -38,8 +38,8 @@ class Config:
     #: feature rows at once (the results do not depend on it); "distributed": full batches on the cluster.
     trainer: str = "auto"
     max_exact: int = 2_000_000
-    #: Pairs that a constraint without an equality may compare; beyond, its feature is 0 or 1.
-    max_pairs: int = 2_000_000_000
+    #: If set, the pairs that a constraint without an equality may compare; beyond, its feature is 0 or 1, not a count.
+    max_pairs: int = 0
     #: Does a tuple violate a constraint with itself?
     self_pairs: bool = False
     verbose: bool = False

@@ -174,7 +174,7 @@ class ConstraintFeaturizer(Featurizer):
         return unit_length(counts)
 
 
-def violation_counts(domain: DataFrame, raw: DataFrame, constraints: list[Constraint], max_pairs: int = 2_000_000_000) -> DataFrame:
+def violation_counts(domain: DataFrame, raw: DataFrame, constraints: list[Constraint], max_pairs: int = 0) -> DataFrame:
     parts = []
     for i, r in enumerate(relaxations(constraints)):
         cands = candidates(domain).where(F.col("attribute") == r.predicate.left.name).select("_vid_", TID, "val_idx", "rv_val")
@@ -236,7 +236,7 @@ def by_counts(r: Relaxed):
 
 
 def pairwise(rows: DataFrame, raw: DataFrame, r: Relaxed, max_pairs: int) -> DataFrame:
-    """Counts pairs by a join; without an equality, and with more pairs than ``max_pairs``, tells 0 from 1 only."""
+    """Counts pairs by a join; only if ``max_pairs`` is set, it tells 0 from 1 without an equality and with more pairs."""
     other = next(t for t in r.dc.tuples if t != r.role)
     theirs = raw.select(*(F.col(f"`{c}`").alias(f"_2_{c}") for c in raw.columns))
     of = lambda a: F.col(f"`_{1 if a.tuple == r.role else 2}_{a.name}`")
@@ -245,7 +245,7 @@ def pairwise(rows: DataFrame, raw: DataFrame, r: Relaxed, max_pairs: int) -> Dat
     on = [q.column(of) for q in r.others] + [apply(p.op, F.col("rv_val"), right), F.col(TID) != F.col(f"_2_{TID}")]
     equality = any(q.op == "=" and len(q.tuples) == 2 for q in r.others) or (p.op == "=" and isinstance(p.right, Attribute) and p.right.tuple == other)
     condition = reduce(lambda a, b: a & b, on)
-    if not equality and p.tuples != {r.role} and rows.count() * raw.count() > max_pairs:
+    if max_pairs and not equality and p.tuples != {r.role} and rows.count() * raw.count() > max_pairs:
         return exists(rows, theirs, condition)
     return rows.join(theirs, condition).groupBy("_vid_", "val_idx").agg(F.count("*").alias("x"))
 

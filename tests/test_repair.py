@@ -119,6 +119,24 @@ def test_violation_counts_equal_pairs(spark):
             assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect())) != []
 
 
+def test_order_constraints_count_at_every_size(spark, monkeypatch):
+    """By default no number of pairs turns counts into 0 or 1 (the large plan is made, not run)."""
+    dc = parse("t1&t2&LT(t1.a,t2.a)&GT(t1.b,t2.b)", ["a", "b"])
+    r = next(r for r in features.relaxations([dc]) if r.predicate.left.name == "a")
+
+    def counted(n):
+        raw = spark.range(n).select(F.col("id").alias(TID), (F.col("id") % 5).cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+        rows = raw.select(F.col(TID).alias("_vid_"), TID, F.lit(0).alias("val_idx"), F.lit("2").alias("rv_val"), F.col("a").alias("_1_a"), F.col("b").alias("_1_b"))
+        return features.pairwise(rows, raw, r, Config.of().max_pairs)
+
+    mine, theirs = ("<", ">") if r.role == "t1" else (">", "<")
+    less = {"<": lambda x, y: x < y, ">": lambda x, y: x > y}
+    want = {i: sum(less[mine](2, j % 5) and less[theirs](i % 3, j % 3) for j in range(30) if j != i) for i in range(30)}
+    assert {x["_vid_"]: x["x"] for x in counted(30).collect()} == {i: c for i, c in want.items() if c}
+    monkeypatch.setattr(features, "exists", lambda *a: pytest.fail("0 or 1 in place of counts"))
+    assert counted(50_000).columns == ["_vid_", "val_idx", "x"]
+
+
 def test_relaxed_order_predicate_has_two_roles(small):
     dc = parse("t1&t2&EQ(t1.Zip,t2.Zip)&LT(t1.City,t2.City)", small.attributes)
     names = [r.describe() for r in features.relaxations([dc])]
