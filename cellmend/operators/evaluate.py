@@ -83,13 +83,16 @@ def weak_label_stats(domain, dk_cells, truth, inferred) -> DataFrame:
 
 
 def counts(raw, attributes, domain, dk_cells, truth, inferred) -> DataFrame:
-    """One row of all counts."""
-    by = repairs_with_truth(domain, inferred, truth).agg(F.coalesce(F.sum(F.when(F.col("on_correct"), F.col("n"))), F.lit(0)).alias("total_repairs_grdt_correct"), F.coalesce(F.sum(F.when(~F.col("on_correct"), F.col("n"))), F.lit(0)).alias("total_repairs_grdt_incorrect"))
-    one = [detected_errors(domain, dk_cells, truth), total_errors(raw, attributes, truth), correct_repairs(raw, attributes, truth, inferred), total_repairs(domain, inferred), by]
-    out = one[0].withColumn("_one", F.lit(1))
-    for df in one[1:]:
-        out = out.join(F.broadcast(df.withColumn("_one", F.lit(1))), "_one")  # tables of one row
-    return out.drop("_one")
+    """One row of all counts: one pass over the cells that have a truth, and one over the repairs."""
+    rows = cells(raw, attributes).join(_truth(truth), _KEY)
+    rows = rows.join(domain.select(*_KEY, "init_value"), _KEY, "left").join(inferred.select(*_KEY, "rv_value"), _KEY, "left")
+    rows = rows.join(dk_cells.select(*_KEY, F.lit(True).alias("dk")), _KEY, "left")
+    how_many = lambda condition, name: F.coalesce(F.sum(F.expr(condition).cast("long")), F.lit(0)).alias(name)
+    out = rows.agg(
+        how_many("dk AND init_value <> truth", "detected_errors"), how_many("value <> truth", "total_errors"), how_many("value <> truth AND rv_value = truth", "correct_repairs"),
+        how_many("init_value <> rv_value AND init_value = truth", "total_repairs_grdt_correct"), how_many("init_value <> rv_value AND init_value <> truth", "total_repairs_grdt_incorrect"),
+    )
+    return out.join(F.broadcast(total_repairs(domain, inferred)), F.lit(True))  # one row each
 
 
 def _ratio(a, b):

@@ -185,7 +185,9 @@ def violation_counts(domain: DataFrame, raw: DataFrame, constraints: list[Constr
 
 def _count(cands: DataFrame, raw: DataFrame, r: Relaxed, max_pairs: int) -> DataFrame:
     """(_vid_, val_idx, x) of the candidates with violations."""
-    own = raw.select(TID, *(F.col(f"`{c}`").alias(f"_1_{c}") for c in raw.columns if c != TID))
+    used = sorted({a.name for q in r.dc.predicates for a in (q.left, q.right) if isinstance(a, Attribute)})
+    own = raw.select(TID, *(F.col(f"`{c}`").alias(f"_1_{c}") for c in used))
+    raw = raw.select(TID, *(F.col(f"`{c}`") for c in used))
     rows = cands.join(own, TID)
     p = r.predicate
     mine = lambda a: F.col(f"`_1_{a.name}`")

@@ -123,7 +123,7 @@ def fit(features: DataFrame, domain: DataFrame, labels: DataFrame, infos: list[F
     """
     if config.trainer not in ("auto", "exact", "distributed"):
         raise ValueError(f"trainer is auto, exact or distributed, not {config.trainer!r}")
-    rows = packed(features, domain, labels).persist()
+    rows = packed(features, domain, labels).persist()  # read by every epoch; its inputs are written tables
     try:
         n, size = rows.agg(F.count("*"), F.sum(F.size("feat"))).first()
         if not n:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +16,17 @@ from .operators import model, repair, stats
 from .operators.detect import Detector, detect_errors
 from .plans.constraints import Constraint, parse
 from .sources import tables
+from .sources.workspace import Workspace
 
 log = logging.getLogger(__name__)
 
 
 class Dataset:
-    """The raw table of a session, its constraints, and statistics that are counted once."""
+    """The raw table of a session, its constraints, and statistics that are counted once.
+
+    Each kept table is written once to the shared folder and read from there, so that no
+    plan holds those of the steps before it.
+    """
 
     def __init__(self, raw: DataFrame, config: Config, exclude: tuple[str, ...] = ()):
         self.config = config
@@ -29,15 +34,18 @@ class Dataset:
         self.attributes = [c for c in raw.columns if c != TID and c not in exclude]
         self.constraints: list[Constraint] = []
         self._kept: dict[str, DataFrame] = {}
+        self._work: Workspace | None = None
 
-    def keep(self, name: str, make) -> DataFrame:
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
-            self._kept[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+            self._work = self._work or Workspace(self.raw.sparkSession, "dataset")
+            self._kept[name] = self._work.keep(make(), name)
         return self._kept[name]
 
     def forget(self) -> None:
-        for df in self._kept.values():
-            df.unpersist()
+        """Delete the kept tables; nothing that reads them can be used afterwards."""
+        if self._work:
+            self._work.close()
         self._kept.clear()
 
     @property
@@ -90,16 +98,21 @@ class RepairSession:
     def load_data(self, name: str, path: str | None = None, df: DataFrame | None = None, na_values=None, entity_col: str | None = None, src_col: str | None = None) -> DataFrame:
         """Load a CSV file or a DataFrame (whose columns become text) as the table ``name``.
 
-        ``entity_col`` gives tuple ids; ``src_col`` is kept but is no attribute.
+        ``entity_col`` gives tuple ids; ``src_col`` is kept but is no attribute. Without tuple ids the
+        prepared input is written before its rows are numbered, so that numbers cannot change
+        with another evaluation of the source.
         """
         exclude = tuple(c for c in (src_col,) if c)
         raw = tables.read_csv(self.spark, path, na_values, (TID, *exclude)) if path else tables.prepare(df, na_values, (TID, *exclude))
-        raw = tables.fill(raw) if TID in raw.columns else tables.fill(tables.with_tids(raw, entity_col))
-        raw = raw.withColumn(TID, F.col(TID).cast("long"))
+        work = Workspace(self.spark, "input")
+        if TID not in raw.columns:
+            raw = tables.with_tids(work.keep(raw, "rows"), entity_col)
+        raw = tables.fill(raw).withColumn(TID, F.col(TID).cast("long"))
         self.name = name
         self.dataset = Dataset(raw, self.config, exclude)
         self.dataset.raw = self.dataset.keep("raw", lambda: raw)
-        raw.createOrReplaceTempView(name)
+        work.close()
+        self.dataset.raw.createOrReplaceTempView(name)
         return self.dataset.raw
 
     def get_raw_data(self) -> DataFrame:
@@ -120,14 +133,15 @@ class RepairSession:
         self._need().constraints = list(constraints)
 
     def detect_errors(self, detectors: list[Detector]) -> DataFrame:
+        """(_tid_, attribute, _cid_) of the suspected cells; it is an error if there are none."""
         self.dk_cells = self._need().keep("dk_cells", lambda: detect_errors(self.dataset, detectors))
+        if not self.dk_cells.limit(1).count():
+            raise ValueError("no cell is suspected: there is nothing to repair")
         return self.dk_cells
 
     def setup_domain(self) -> DataFrame:
         d, c = self._need(), self.config
         active = dom.active_attributes(self.dk_cells)
-        if not active:
-            raise ValueError("no cell is suspected: there is nothing to repair")
         pruned = stats.pruned_pairs(d.pairs, d.single, c.domain_thresh_1)
         found = dom.cell_candidates(d.raw, d.attributes, active, pruned, stats.correlated(d.corr, c.cor_strength))
         found = found.withColumn("_cid_", d.cell_id(F.col(TID), F.col("attribute")))
@@ -144,7 +158,10 @@ class RepairSession:
             else:
                 raise ValueError(f"estimator is naive_bayes or logistic, not {c.estimator!r}")
             estimator.train(first)
-            self.domain = d.keep("domain", lambda: dom.reprune(first, estimator.predict(first), c.domain_thresh_2, c.max_domain, c.weak_label_thresh))
+            posterior = d.keep("posterior", lambda: estimator.predict(first))
+            self.domain = d.keep("domain", lambda: dom.reprune(first, posterior, c.domain_thresh_2, c.max_domain, c.weak_label_thresh))
+        if not self.domain.limit(1).count():
+            raise ValueError("no cell has a candidate value: prune less or load more data")
         self.domain.createOrReplaceTempView("cell_domain")
         dom.pos_values(self.domain).createOrReplaceTempView("pos_values")
         return self.domain
