@@ -32,6 +32,7 @@ class Config:
     feature_norm: bool = True
     weight_norm: bool = False
     estimator: str = "naive_bayes"
+    #: The logistic estimator's solver takes the full gradient, ten steps for each epoch; it has no batches.
     estimator_epochs: int = 3
     estimator_batch_size: int = 32
     #: "auto" and "exact": minibatches in cell order on the driver, which holds about max_exact
@@ -43,6 +44,7 @@ class Config:
     #: Does a tuple violate a constraint with itself?
     self_pairs: bool = False
     verbose: bool = False
+    #: A bias is the same for all candidates of a cell, so it cancels in the softmax: accepted, without effect.
     bias: bool = False
     print_fw: bool = False
     debug_path: str = ""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -49,22 +52,23 @@ def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@lru_cache(maxsize=200_000)
+def _direction(gram: str, size: int) -> np.ndarray:
+    """A pseudo-random direction of an n-gram."""
+    return np.random.default_rng(zlib.crc32(gram.encode())).standard_normal(size)
+
+
 def embed(text: str, size: int = 10, low: int = 3, high: int = 6) -> np.ndarray:
     """A vector of hashed character n-grams of <text>, of mean zero and length one.
 
     Each n-gram has a pseudo-random direction; a text's vector is their normalised sum, so that
     texts with common n-grams are near each other.
     """
-    import zlib
-
     word = f"<{text}>"
-    total = np.zeros(size)
-    for n in range(low, high + 1):
-        for i in range(len(word) - n + 1):
-            rng = np.random.default_rng(zlib.crc32(word[i : i + n].encode()))
-            total += rng.standard_normal(size)
+    grams = [word[i : i + n] for n in range(low, high + 1) for i in range(len(word) - n + 1)]
+    total = sum((_direction(g, size) for g in grams), np.zeros(size))
     if not total.any():
-        total = np.random.default_rng(zlib.crc32(word.encode())).standard_normal(size)
+        total = _direction(word, size)
     return total / np.linalg.norm(total)
 
 

@@ -6,12 +6,12 @@ import logging
 from abc import ABC, abstractmethod
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import NULL, TID
 from ..plans.violations import violating
-from ..sources.tables import cells, known_errors
+from ..sources.tables import cells, known_errors, read_csv, read_table
 
 log = logging.getLogger(__name__)
 
@@ -53,12 +53,22 @@ class ViolationDetector(Detector):
 
 
 class ErrorsLoaderDetector(Detector):
-    """Cells that a table names."""
+    """Cells that a table of exactly (id_col, attr_col) names."""
 
     def __init__(self, errors: DataFrame, id_col: str = TID, attr_col: str = "attribute", name: str = ""):
         super().__init__(name)
         self.errors = known_errors(errors, id_col, attr_col)
 
+    @classmethod
+    def from_csv(cls, spark: SparkSession, path: str, id_col: str = TID, attr_col: str = "attribute", name: str = "") -> ErrorsLoaderDetector:
+        """Errors of a CSV file with a header."""
+        return cls(read_csv(spark, path, drop_empty=False, clean=False), id_col, attr_col, name)
+
+    @classmethod
+    def from_table(cls, spark: SparkSession, table: str, schema: str | None = None, id_col: str = TID, attr_col: str = "attribute", name: str = "", **jdbc: str) -> ErrorsLoaderDetector:
+        """Errors of a catalog table, or with JDBC options of one of a database."""
+        return cls(read_table(spark, table, schema, **jdbc), id_col, attr_col, name)
+
     def detect(self) -> DataFrame:
         return self.errors
 

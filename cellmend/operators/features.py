@@ -84,8 +84,10 @@ class InitSimFeaturizer(Featurizer):
         return list(self.dataset.attributes)
 
     def rows(self, domain: DataFrame, classes: int) -> DataFrame:
-        x = F.when(F.col("rv_val") == F.col("init_value"), -1.0).otherwise(2 * similarity_udf("rv_val", "init_value") - 1)
-        return candidates(domain).select("_vid_", "val_idx", self._index(F.col("attribute")).alias("feat"), x.alias("x"))
+        rows = candidates(domain).select("_vid_", "val_idx", "attribute", "rv_val", "init_value")
+        pairs = rows.where("rv_val <> init_value").select("rv_val", "init_value").distinct().withColumn("s", similarity_udf("rv_val", "init_value"))
+        x = F.when(F.col("rv_val") == F.col("init_value"), -1.0).otherwise(2 * F.col("s") - 1)
+        return rows.join(pairs, ["rv_val", "init_value"], "left").select("_vid_", "val_idx", self._index(F.col("attribute")).alias("feat"), x.alias("x"))
 
 
 class FreqFeaturizer(Featurizer):

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NULL, TID
-from .domain import candidates
 
 
 def distributions(probs: DataFrame) -> DataFrame:
@@ -27,10 +26,6 @@ def inferred_cells(domain: DataFrame, inferred: DataFrame) -> DataFrame:
     return domain.join(inferred, "_vid_").select(TID, "attribute", F.element_at("domain", F.col("inferred_val_idx") + 1).alias("rv_value"))
 
 
-def pos_value_probs(domain: DataFrame, probs: DataFrame) -> DataFrame:
-    return candidates(domain).select("_vid_", "val_idx", "rv_val").join(probs, ["_vid_", "val_idx"])
-
-
 def repaired(raw: DataFrame, cells: DataFrame, attributes: list[str], nulls: bool = True) -> DataFrame:
     """``raw`` with the inferred values of ``cells`` (_tid_, attribute, rv_value); missing values are real nulls.
 

@@ -103,6 +103,15 @@ def dc_eq_lt(spark, sf_dir):
     return _violations(_customer(spark, sf_dir), "t1&t2&EQ(t1.c_nationkey,t2.c_nationkey)&LT(t1.c_mktsegment,t2.c_mktsegment)")
 
 
+def dc_gt(spark, sf_dir):
+    return _violations(_customer(spark, sf_dir), "t1&t2&EQ(t1.c_nationkey,t2.c_nationkey)&GT(t1.c_mktsegment,t2.c_mktsegment)")
+
+
+def dc_gte(spark, sf_dir):
+    """Equal values count, so a tuple's own pair is left out: a semi-join."""
+    return _violations(_part(spark, sf_dir), "t1&t2&EQ(t1.p_name,t2.p_name)&EQ(t1.p_brand,t2.p_brand)&GTE(t1.p_size,t2.p_size)")
+
+
 def dc_const_binary(spark, sf_dir):
     return _violations(_part(spark, sf_dir), 't1&t2&EQ(t1.p_type,"economy")&EQ(t1.p_name,t2.p_name)&EQ(t1.p_size,t2.p_size)&IQ(t1.p_brand,t2.p_brand)')
 
@@ -151,12 +160,9 @@ def pruned_pairs(spark, sf_dir):
     return stats.pruned_pairs(d.pairs, d.single, PRUNE).select("a1", "v1", "a2", "v2", "n", "freq")
 
 
-_ACTIVE = ["nation_key", "r_name", "segment"]
-
-
 def _found(d: Dataset) -> DataFrame:
     pruned = stats.pruned_pairs(d.pairs, d.single, PRUNE)
-    found = dom.cell_candidates(d.raw, d.attributes, _ACTIVE, pruned, stats.correlated(d.corr, CORR)).where(F.size("domain") > 0)
+    found = dom.cell_candidates(d.raw, d.attributes, dom.active_attributes(_dk(d)), pruned, stats.correlated(d.corr, CORR)).where(F.size("domain") > 0)
     return found.withColumn("_cid_", d.cell_id(F.col(TID), F.col("attribute")))
 
 
@@ -215,6 +221,14 @@ def weak_labels(spark, sf_dir):
     return rows.select(F.col("_vid_").alias("cid"), F.array_join("domain", "|").alias("domain"), "weak_label", "fixed", "label", "is_clean")
 
 
+def repruned_single(spark, sf_dir):
+    """Cells of one candidate are marked as such, and pass the second pruning as they are."""
+    d = _geo(spark, sf_dir)
+    marked = dom.initial_domain(_found(d).withColumn("fixed", F.when(F.size("domain") == 1, dom.SINGLE_VALUE).otherwise(dom.NOT_SET)))
+    rows = dom.reprune(marked, _posterior(d), 0.01, 10, WEAK)
+    return rows.select(F.col("_vid_").alias("cid"), F.array_join("domain", "|").alias("domain"), "weak_label", "weak_label_idx", "fixed")
+
+
 def _features(d: Dataset, featurizer: features.Featurizer, classes: int = 10) -> DataFrame:
     featurizer.setup(d)
     return featurizer.rows(_domain(d), classes)
@@ -246,8 +260,9 @@ def feat_norm(spark, sf_dir):
 
 def feat_constraint(spark, sf_dir):
     d = _geo(spark, sf_dir)
+    domain = _domain(d)  # of what the first constraint suspects
     d.constraints.append(parse(_GEO_DC2, d.attributes))
-    return _feature_rows(d, features.violation_counts(_domain(d), d.raw, d.constraints))
+    return _feature_rows(d, features.violation_counts(domain, d.raw, d.constraints))
 
 
 def feat_constraint_norm(spark, sf_dir):
@@ -258,8 +273,9 @@ def feat_constraint_norm(spark, sf_dir):
 def feat_constraint_pairs(spark, sf_dir):
     """An order predicate: pairs are counted by a join on the nation."""
     d = _geo(spark, sf_dir)
+    domain = _domain(d)
     d.constraints = [parse("t1&t2&EQ(t1.nation_key,t2.nation_key)&LT(t1.r_name,t2.r_name)", d.attributes)]
-    return _feature_rows(d, features.violation_counts(_domain(d), d.raw, d.constraints))
+    return _feature_rows(d, features.violation_counts(domain, d.raw, d.constraints))
 
 
 def feat_constraint_exists(spark, sf_dir):
@@ -272,6 +288,21 @@ def feat_constraint_exists(spark, sf_dir):
     return features.exists(rows, theirs, on).select(F.col("_vid_").alias("cid"), "val_idx", F.col("x").cast("long").alias("x"))
 
 
+def feat_unary(spark, sf_dir):
+    """A constraint on one tuple: a candidate violates it or not."""
+    d = _geo(spark, sf_dir)
+    domain = _domain(d)
+    d.constraints = [parse('t1&EQ(t1.segment,"building")&EQ(t1.r_name,"corrupt")', d.attributes)]
+    return _feature_rows(d, features.violation_counts(domain, d.raw, d.constraints))
+
+
+def assembled_features(spark, sf_dir):
+    """Four featurizers' rows, numbered one after the other."""
+    d = _geo(spark, sf_dir)
+    rows, _ = features.assemble(d, _domain(d), [features.InitAttrFeaturizer(), features.FreqFeaturizer(), features.OccurAttrFeaturizer(), features.ConstraintFeaturizer()])
+    return _feature_rows(d, rows)
+
+
 def _fixed_scores(d: Dataset) -> tuple[DataFrame, list[float]]:
     a = len(d.attributes)
     parts = [(_features(d, features.InitAttrFeaturizer()), 0), (_features(d, features.FreqFeaturizer()), a), (_features(d, features.ConstraintFeaturizer()), 2 * a)]
@@ -390,10 +421,10 @@ def weight_summary(spark, sf_dir):
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    null_cells, dc_unary, dc_eq_iq, dc_eq_lt, dc_const_binary, dc_semi_join, detected_cells, active_attributes, errors_loader,
+    null_cells, dc_unary, dc_eq_iq, dc_eq_lt, dc_gt, dc_gte, dc_const_binary, dc_semi_join, detected_cells, active_attributes, errors_loader,
     stats_single, stats_pair, attr_correlation, correlated_attrs, pruned_pairs, cell_domain, pos_values, domain_info, filled_domain,
-    nb_posterior, nb_argmax, weak_labels, feat_initattr, feat_freq, feat_occur, feat_norm, feat_constraint, feat_constraint_norm,
-    feat_constraint_pairs, feat_constraint_exists, cond_logit_scores, total_errors, correct_repairs, total_repairs, repairs_grdt,
+    nb_posterior, nb_argmax, weak_labels, repruned_single, feat_initattr, feat_freq, feat_occur, feat_norm, feat_constraint, feat_constraint_norm,
+    feat_constraint_pairs, feat_constraint_exists, feat_unary, assembled_features, cond_logit_scores, total_errors, correct_repairs, total_repairs, repairs_grdt,
     detected_errors, eval_report, weak_label_stats, repaired_table, init_sim, lang_features, logistic_posterior, end_to_end_repair,
     distributed_repair, weight_summary,
 ]
@@ -429,7 +460,7 @@ corr AS (SELECT x.attribute AS x, y.attribute AS y, CASE WHEN x.ndv = 1 THEN 0.0
 _DOMAIN = f"""edges AS (SELECT x, y FROM corr WHERE corr > {CORR} AND x <> y),
 pruned AS (SELECT p.*, s.n AS freq FROM pairs p JOIN single s ON s.attribute = p.a1 AND s.value = p.v1 WHERE v1 <> '_nan_' AND v2 <> '_nan_' AND p.n > {PRUNE} * s.n),
 cands AS (SELECT c.tid, e.x AS attribute, p.v2 AS v FROM cells c JOIN edges e ON e.y = c.attribute JOIN pruned p ON p.a1 = c.attribute AND p.v1 = c.value AND p.a2 = e.x
-    WHERE e.x IN ('nation_key', 'r_name', 'segment') UNION SELECT tid, attribute, value FROM cells WHERE attribute IN ('nation_key', 'r_name', 'segment') AND value <> '_nan_'),
+    WHERE e.x IN (SELECT attribute FROM dk) UNION SELECT tid, attribute, value FROM cells WHERE attribute IN (SELECT attribute FROM dk) AND value <> '_nan_'),
 pos AS (SELECT k.tid, k.attribute, c.tid * 4 + c.idx AS cid, c.value AS init_value, k.v, row_number() OVER (PARTITION BY k.tid, k.attribute ORDER BY k.v) - 1 AS val_idx, count(*) OVER (PARTITION BY k.tid, k.attribute) AS size
     FROM cands k JOIN cells c ON c.tid = k.tid AND c.attribute = k.attribute)"""
 _NB = """lik AS (SELECT p.cid, p.val_idx, sum(ln(greatest(coalesce(q.n, 0) - 1, 0.1)) - ln(f.n)) AS s FROM pos p JOIN single f ON f.attribute = p.attribute AND f.value = p.v
@@ -452,9 +483,9 @@ labelled AS (SELECT k.cid, any_value(k.tid) AS tid, any_value(k.attribute) AS at
     FROM kept k JOIN best b ON b.cid = k.cid GROUP BY k.cid)"""
 
 _GEO_BASE = f"WITH {_GEO}, {_cells_sql(_GEO_ATTRS)}, {_STATS}, {_CORR}"
-_GEO_DOMAIN = f"{_GEO_BASE}, {_DOMAIN}"
+_GEO_DOMAIN = f"{_GEO_BASE}, {_DK}, {_DOMAIN}"
 _GEO_NB = f"{_GEO_DOMAIN}, {_NB}, {_BEST}"
-_GEO_EVAL = f"{_GEO_NB}, {_DK}, {_TRUTH}, {_REPAIRS}"
+_GEO_EVAL = f"{_GEO_NB}, {_TRUTH}, {_REPAIRS}"
 _ERRORS = "errs AS (SELECT c.tid, c.attribute, c.value, t.truth FROM cells c JOIN truth t ON t.tid = c.tid AND t.attribute = c.attribute WHERE c.value <> t.truth)"
 _COUNTS = f"""{_ERRORS}, counted AS (SELECT
     (SELECT count(*) FROM (SELECT DISTINCT cid, tid, attribute, init_value FROM pos) p JOIN truth t ON t.tid = p.tid AND t.attribute = p.attribute JOIN dk ON dk.cid = p.cid WHERE p.init_value <> t.truth) AS detected_errors,
@@ -476,6 +507,8 @@ ORACLE: dict[str, str] = {
     "dc_unary": f"WITH {_ORDERS} SELECT tid FROM raw WHERE o_orderstatus = 'f' AND o_orderpriority = '1-urgent'",
     "dc_eq_iq": f"WITH {_PART} SELECT tid FROM raw a WHERE EXISTS (SELECT 1 FROM raw b WHERE a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_brand <> b.p_brand)",
     "dc_eq_lt": f"WITH {_CUSTOMER} SELECT tid FROM raw a WHERE EXISTS (SELECT 1 FROM raw b WHERE a.c_nationkey = b.c_nationkey AND a.c_mktsegment < b.c_mktsegment)",
+    "dc_gt": f"WITH {_CUSTOMER} SELECT tid FROM raw a WHERE EXISTS (SELECT 1 FROM raw b WHERE a.c_nationkey = b.c_nationkey AND a.c_mktsegment > b.c_mktsegment)",
+    "dc_gte": f"WITH {_PART} SELECT tid FROM raw a WHERE EXISTS (SELECT 1 FROM raw b WHERE a.tid <> b.tid AND a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size >= b.p_size)",
     "dc_const_binary": f"WITH {_PART} SELECT tid FROM raw a WHERE p_type = 'economy' AND EXISTS (SELECT 1 FROM raw b WHERE a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_brand <> b.p_brand)",
     "dc_semi_join": f"WITH {_PART} SELECT tid FROM raw a WHERE EXISTS (SELECT 1 FROM raw b WHERE a.tid <> b.tid AND a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size <= b.p_size)",
     "detected_cells": f"WITH {_GEO}, {_cells_sql(_GEO_ATTRS)}, {_DK} SELECT tid, attribute, cid FROM dk",
@@ -491,7 +524,10 @@ ORACLE: dict[str, str] = {
     "domain_info": f"{_GEO_DOMAIN} SELECT count(DISTINCT cid) AS n_vars, max(size)::INT AS max_domain FROM pos",
     "nb_posterior": f"{_GEO_NB} SELECT cid, v AS rv_val, round(p, 6) AS p FROM post",
     "nb_argmax": f"{_GEO_NB} SELECT cid, val_idx::INT AS inferred_val_idx, v AS inferred_val, round(p, 6) AS prob FROM best",
-    "weak_labels": f"{_GEO_NB}, {_DK}, {_LABELS} SELECT l.cid, domain, weak_label, l.fixed, (CASE WHEN weak_label <> '_nan_' AND (dk.cid IS NULL OR l.fixed <> 0) THEN list_position(vs, weak_label) - 1 ELSE -1 END)::INT AS label, (weak_label <> '_nan_' AND dk.cid IS NULL)::INT AS is_clean FROM labelled l LEFT JOIN dk ON dk.cid = l.cid",
+    "weak_labels": f"{_GEO_NB}, {_LABELS} SELECT l.cid, domain, weak_label, l.fixed, (CASE WHEN weak_label <> '_nan_' AND (dk.cid IS NULL OR l.fixed <> 0) THEN list_position(vs, weak_label) - 1 ELSE -1 END)::INT AS label, (weak_label <> '_nan_' AND dk.cid IS NULL)::INT AS is_clean FROM labelled l LEFT JOIN dk ON dk.cid = l.cid",
+    "repruned_single": f"""{_GEO_NB}, {_LABELS}, lone AS (SELECT DISTINCT cid FROM pos WHERE size = 1),
+    marked AS (SELECT l.cid, domain, vs, CASE WHEN a.cid IS NULL THEN weak_label ELSE init_value END AS weak_label, CASE WHEN a.cid IS NULL THEN l.fixed ELSE 2 END::INT AS fixed FROM labelled l LEFT JOIN lone a ON a.cid = l.cid)
+    SELECT cid, domain, weak_label, (coalesce(nullif(list_position(vs, weak_label), 0), 0) - 1)::INT AS weak_label_idx, fixed FROM marked""",
     "feat_initattr": f"{_GEO_DOMAIN} SELECT cid, val_idx::INT AS val_idx, (cid % 4)::INT AS feat, CASE WHEN v = init_value THEN 1.0 ELSE -1.0 END::DOUBLE AS x FROM pos",
     "feat_freq": f"{_GEO_DOMAIN} SELECT cid, val_idx::INT AS val_idx, (cid % 4)::INT AS feat, round(s.n / t, 6) AS x FROM pos p JOIN single s ON s.attribute = p.attribute AND s.value = p.v, total",
     "feat_occur": f"{_GEO_DOMAIN} SELECT cid, val_idx::INT AS val_idx, (cid % 4 * 4 + c.idx)::INT AS feat, round(q.n / f.n, 6) AS x FROM pos p JOIN cells c ON c.tid = p.tid AND c.attribute <> p.attribute AND c.value <> '_nan_' JOIN pairs q ON q.a1 = p.attribute AND q.v1 = p.v AND q.a2 = c.attribute AND q.v2 = c.value JOIN single f ON f.attribute = c.attribute AND f.value = c.value",
@@ -504,6 +540,13 @@ ORACLE: dict[str, str] = {
     SELECT p.cid, p.val_idx, 2, count(*) FROM pos p JOIN raw a ON a.tid = p.tid JOIN raw b ON b.tid <> a.tid AND a.nation_key = b.nation_key AND b.r_name < p.v WHERE p.attribute = 'r_name' GROUP BY ALL)
     SELECT cid, val_idx::INT AS val_idx, feat, x::DOUBLE AS x FROM counts""",
     "feat_constraint_exists": f"{_GEO_DOMAIN} SELECT cid, val_idx::INT AS val_idx, 1::BIGINT AS x FROM pos p JOIN raw a ON a.tid = p.tid WHERE p.attribute = 'r_name' AND EXISTS (SELECT 1 FROM raw b WHERE b.tid <> a.tid AND a.nation_key = b.nation_key AND p.v <> b.r_name)",
+    "feat_unary": f"""{_GEO_DOMAIN} SELECT p.cid, val_idx::INT AS val_idx, 0 AS feat, 1.0::DOUBLE AS x FROM pos p JOIN raw a ON a.tid = p.tid WHERE p.attribute = 'segment' AND p.v = 'building' AND a.r_name = 'corrupt'
+    UNION ALL SELECT p.cid, val_idx::INT, 1, 1.0::DOUBLE FROM pos p JOIN raw a ON a.tid = p.tid WHERE p.attribute = 'r_name' AND p.v = 'corrupt' AND a.segment = 'building'""",
+    "assembled_features": f"""{_GEO_DOMAIN}, {_PAIR_COUNTS})
+    SELECT cid, val_idx::INT AS val_idx, (cid % 4)::INT AS feat, CASE WHEN v = init_value THEN 1.0 ELSE -1.0 END::DOUBLE AS x FROM pos
+    UNION ALL SELECT cid, val_idx::INT, (4 + cid % 4)::INT, round(s.n / t, 6) FROM pos p JOIN single s ON s.attribute = p.attribute AND s.value = p.v, total
+    UNION ALL SELECT cid, val_idx::INT, (8 + cid % 4 * 4 + c.idx)::INT, round(q.n / f.n, 6) FROM pos p JOIN cells c ON c.tid = p.tid AND c.attribute <> p.attribute AND c.value <> '_nan_' JOIN pairs q ON q.a1 = p.attribute AND q.v1 = p.v AND q.a2 = c.attribute AND q.v2 = c.value JOIN single f ON f.attribute = c.attribute AND f.value = c.value
+    UNION ALL SELECT cid, val_idx::INT, (24 + feat)::INT, round(x / sqrt(sum(x * x) OVER (PARTITION BY cid, feat)), 6) FROM counts""",
     "cond_logit_scores": f"""{_GEO_DOMAIN}, {_PAIR_COUNTS}), unit AS (SELECT cid, val_idx, x / sqrt(sum(x * x) OVER (PARTITION BY cid, feat)) AS x FROM counts),
     c AS (SELECT cid, val_idx, sum(x) AS x FROM unit GROUP BY ALL),
     z AS (SELECT p.cid, p.val_idx, {_W[0]} * CASE WHEN p.v = p.init_value THEN 1 ELSE -1 END + {_W[1]} * s.n / t - {_W[2]} * coalesce(c.x, 0) AS z FROM pos p JOIN single s ON s.attribute = p.attribute AND s.value = p.v CROSS JOIN total LEFT JOIN c ON c.cid = p.cid AND c.val_idx = p.val_idx)

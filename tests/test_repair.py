@@ -198,6 +198,28 @@ def test_training_does_not_depend_on_max_exact(spark, trainer):
         assert other.history == fits[0].history
 
 
+def test_nothing_to_repair_is_refused(spark):
+    s = RepairSession(spark)
+    with pytest.raises(RuntimeError):
+        s.detect_errors([detect.NullDetector()])
+    s.load_data("clean", df=spark.createDataFrame([(0, "a", "b"), (1, "a", "b")], "_tid_ long, x string, y string"))
+    with pytest.raises(ValueError, match="no cell is suspected"):
+        s.detect_errors([detect.NullDetector()])
+    t = RepairSession(spark)  # one value for each attribute: nothing to choose from
+    t.load_data("bare", df=spark.createDataFrame([(0, "a", "b"), (1, "a", None)], "_tid_ long, x string, y string"))
+    t.detect_errors([detect.NullDetector()])
+    with pytest.raises(ValueError, match="no cell has a candidate"):
+        t.setup_domain()
+
+
+def test_unary_constraint_features(spark):
+    d = Dataset(spark.createDataFrame([(0, "m", "wife"), (1, "f", "wife"), (2, "m", "son")], "_tid_ long, sex string, kin string"), Config.of())
+    d.constraints = [parse('t1&EQ(t1.sex,"m")&EQ(t1.kin,"wife")', d.attributes)]
+    domain = spark.createDataFrame([(t, a, t * 2 + i, v) for t in range(3) for i, (a, v) in enumerate([("sex", ["f", "m"]), ("kin", ["son", "wife"])])], "_tid_ long, attribute string, _vid_ long, domain array<string>")
+    got = {(r["_vid_"], r["val_idx"], r["feat"]) for r in features.violation_counts(domain, d.raw, d.constraints).collect()}
+    assert got == {(0, 1, 0), (2, 1, 0), (1, 1, 1), (5, 1, 1)}
+
+
 def test_repaired_keeps_rows_and_shows_real_nulls(spark):
     raw = spark.createDataFrame([(0, "a", "_nan_"), (1, "b", "y")], "_tid_ long, p string, q string")
     cells = spark.createDataFrame([(1, "p", "c")], "_tid_ long, attribute string, rv_value string")

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from cellmend.config import Config
 from cellmend.functions.text import embed, similarity
+from cellmend.operators.detect import ErrorsLoaderDetector
 from cellmend.sources import tables
+from cellmend.sources.workspace import Workspace
 
 
 def test_csv_is_text_with_missing_values(spark, tmp_path):
@@ -40,6 +42,26 @@ def test_known_errors_need_their_schema(spark):
         tables.known_errors(good.withColumnRenamed("attribute", "invalid_column"))
 
 
+def test_known_errors_from_csv_and_table(spark, tmp_path):
+    path = tmp_path / "errors.csv"
+    path.write_text("id,attr\n1,City\n3,Zip\n")
+    want = {(1, "City"), (3, "Zip")}
+    assert {tuple(r) for r in ErrorsLoaderDetector.from_csv(spark, str(path), "id", "attr").detect().collect()} == want
+    spark.createDataFrame([(1, "City"), (3, "Zip")], "id long, attr string").createOrReplaceTempView("known")
+    assert {tuple(r) for r in ErrorsLoaderDetector.from_table(spark, "known", id_col="id", attr_col="attr").detect().collect()} == want
+    with pytest.raises(ValueError, match="does not match the expected schema"):
+        ErrorsLoaderDetector.from_csv(spark, str(path))
+
+
+def test_kept_tables_are_cut_from_their_lineage(spark):
+    work = Workspace(spark, "test")
+    df = work.keep(spark.range(5).withColumn("x", F.col("id") * 2), "a")
+    assert "Range" not in df._jdf.queryExecution().analyzed().toString() and sorted(r["x"] for r in df.collect()) == [0, 2, 4, 6, 8]
+    work.close()
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{work.path}/a").count()
+
+
 def test_constraint_file(spark, tmp_path):
     path = tmp_path / "dc.txt"
     path.write_text("# note\n\nt1&EQ(t1.a,'x')  \n")
