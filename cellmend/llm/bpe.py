@@ -8,9 +8,11 @@ of the pairs that a merge creates are extended. All steps are NumPy operations o
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import U64, mix, powers, ragged, slices, text_bytes
+from .textvec import U64, hashed, numbered, ragged, slices, text_bytes
 
 #: Distinct pre-tokens that a task remembers; beyond, it forgets them all and goes on.
 REMEMBERED = 600_000
 #: Text bytes encoded at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Ids decoded at once.
+DECODED = 1 << 19
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 _classes: list[np.ndarray] = []
 
@@ -151,10 +155,15 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes columns of texts, remembering the pre-tokens that it has met."""
+    """Encodes columns of texts, remembering the pre-tokens that it has met.
+
+    Pre-tokens of a chunk are told apart by their bytes, and known from chunk to chunk by
+    hashes of them that a random seed of this encoder keys.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.seed = secrets.randbits(24)
         self._forget()
 
     def _forget(self) -> None:
@@ -223,37 +232,75 @@ class Encoder:
         return starts, np.searchsorted(offsets, starts, "right") - 1, special[at]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's begin and the last end."""
+        """Ids of all texts, one after the other, and where each text's begin and the last end.
+
+        Long texts are worked on in pieces that end where a pre-token does.
+        """
         data, offsets = text_bytes(column)
+        borders = np.unique(np.concatenate((offsets, self._borders(data, offsets))))
+        ids, sizes, a = [], [], 0
+        while a < len(borders) - 1:
+            b = max(a + 1, int(np.searchsorted(borders, borders[a] + CHUNK_BYTES, "right")) - 1)
+            some, at = self._encode(data[borders[a] : borders[b]], borders[a : b + 1] - borders[a])
+            ids.append(some)
+            sizes.append(np.diff(at))
+            a = b
+        total = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1, np.int64)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), total[np.searchsorted(borders, offsets)]
+
+    def _borders(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Places in texts longer than a chunk before a blank between two ASCII letters, about a chunk apart."""
+        out = []
+        if any(b" " in token for token in self.vocabulary.special):
+            return np.zeros(0, np.int64)
+        for i in np.flatnonzero(np.diff(offsets) > CHUNK_BYTES).tolist():
+            a, end = int(offsets[i]), int(offsets[i + 1])
+            while end - a > CHUNK_BYTES:
+                part = data[a : a + CHUNK_BYTES]
+                letter = ((part | 32) >= 97) & ((part | 32) <= 122)
+                good = np.flatnonzero((part[1:-1] == 32) & letter[:-2] & letter[2:])
+                if not len(good):
+                    break  # nowhere to cut: the rest stays whole
+                a += int(good[-1]) + 1
+                out.append(a)
+        return np.array(out, np.int64)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         starts, doc, special = self._cut(data, offsets)
         ends = np.append(starts[1:], len(data))
-        p, q = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * p[:-1], dtype=U64, out=sums[1:])
-        names = mix((sums[ends] - sums[starts]) * q[starts] + (special + 1).astype(U64) * U64(0x5851F42D4C957F2D))
-        distinct, one, which = np.unique(names, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct
+        which = numbered(data, starts, ends)
+        # numbers grow where a pre-token is new
+        one = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1) > 0)
+        names = hashed(data, starts[one], ends[one], self.seed) & ~U64(1)
+        own = np.flatnonzero(special >= 0)
+        if len(own):  # told apart from texts of the same bytes
+            ids, first, of = np.unique(special[own], return_index=True, return_inverse=True)
+            which[own] = len(one) + of
+            one = np.concatenate((one, own[first]))
+            names = np.concatenate((names, ids.astype(U64) * U64(2) + U64(1)))
+        order = np.argsort(names, kind="stable")
+        names = names[order]
+        place = np.searchsorted(self.keys, names)
+        known = self.keys[np.minimum(place, len(self.keys) - 1)] == names if len(self.keys) else np.zeros(len(names), bool)
         if len(self.keys) + int((~known).sum()) > REMEMBERED and len(self.keys):
             self._forget()
-            place, known = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
+            place, known = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
         if not known.all():
-            new = one[~known]
-            self._learn(distinct[~known], place[~known], data, starts[new], ends[new] - starts[new], special[new])
-        row = np.searchsorted(self.keys, distinct)[which]
+            new = one[order][~known]
+            self._learn(names[~known], place[~known], data, starts[new], ends[new] - starts[new], special[new])
+        row = np.empty(len(names), np.int64)
+        row[order] = np.searchsorted(self.keys, names)
+        row = row[which]
         size = self.size[row]
         ids = self.pool[np.repeat(self.where[row], size) + ragged(size)]
         total = np.concatenate(([0], np.cumsum(size)))
-        return ids, total[np.searchsorted(doc, np.arange(len(column) + 1))]
+        return ids, total[np.searchsorted(doc, np.arange(len(offsets)))]
 
     def _learn(self, keys, place, data, starts, lengths, special) -> None:
-        ids, counts = self.vocabulary.encode_words(data, starts, lengths)
-        ends = np.cumsum(counts)
-        begins = ends - counts
+        ids, counts = self.vocabulary.encode_words(data, starts, np.where(special < 0, lengths, 0))
+        begins = np.cumsum(counts) - counts
         own = np.flatnonzero(special >= 0)
         if len(own):
             begins[own] = len(ids) + np.arange(len(own))
@@ -294,8 +341,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     As the vocabulary's own library without added special tokens: the string of a special
     token in a text becomes its id. A null or empty text has no ids. Rows keep their
-    doc_id, null or repeated; other columns are not read. Pre-tokens are told apart by 64-bit
-    hashes of their bytes.
+    doc_id, null or repeated; other columns are not read. Pre-tokens are told
+    apart by their bytes and keyed hashes of them, see Encoder.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(spark, path))  # a fixed table of some MB
@@ -328,15 +375,22 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         encoder = Encoder(vocabulary)
         for part in slices(batches, limit=CHUNK_BYTES):
             ids, at = encoder.encode(part.column("text"))
-            text, ends = vocabulary.decode(ids)
-            raw, text = memoryview(ids.astype("<u4").tobytes()), memoryview(text.tobytes())
-            cuts = ends[at].tolist()
-            at = at.tolist()
-            sums, texts = [], []
-            for i in range(part.num_rows):
-                sums.append(hashlib.sha256(raw[4 * at[i] : 4 * at[i + 1]]).hexdigest())
-                piece = bytes(text[cuts[i] : cuts[i + 1]]).decode("utf-8", "replace")
-                texts.append(hashlib.sha256(piece.encode()).hexdigest())
+            sums, texts = [hashlib.sha256() for _ in range(part.num_rows)], [hashlib.sha256() for _ in range(part.num_rows)]
+            a = 0
+            while a < part.num_rows:
+                b = max(a + 1, int(np.searchsorted(at, at[a] + DECODED, "right")) - 1)  # texts decoded at once
+                first, last = int(at[a]), int(at[b])
+                utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+                for low in range(first, max(last, first + 1), DECODED):  # more than one piece only of one long text
+                    high = min(last, low + DECODED)
+                    text, ends = vocabulary.decode(ids[low:high])
+                    raw, text = memoryview(ids[low:high].astype("<u4").tobytes()), memoryview(text.tobytes())
+                    for i in range(a, b):
+                        x, y = max(0, int(at[i]) - low), min(high, int(at[i + 1])) - low
+                        sums[i].update(raw[4 * x : 4 * y])
+                        texts[i].update(utf8.decode(text[ends[x] : ends[y]], high == last).encode())
+                a = b
+            sums, texts = [x.hexdigest() for x in sums], [x.hexdigest() for x in texts]
             yield pa.record_batch({"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": pa.array(texts, pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

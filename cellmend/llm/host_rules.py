@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Workspace
-from .textvec import U64, Words, mix, powers, ragged, slices
+from .textvec import Words, numbered, ragged, slices
 
 #: Hosts whose verdicts are broadcast at most; above, the join shuffles.
 BROADCAST_HOSTS = 200_000
@@ -32,13 +32,12 @@ def _per(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _again(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each (document, key): is it an earlier one's equal, and does it occur twice or more."""
-    name = mix(keys + doc.astype(U64) * U64(0x9E3779B97F4A7C15), 11)
-    order = np.argsort(name, kind="stable")
-    name = name[order]
-    first = np.concatenate(([True], name[1:] != name[:-1])) if len(name) else np.zeros(0, bool)
-    later, many = np.zeros(len(name), bool), np.zeros(len(name), bool)
+    order = np.lexsort((keys, doc))
+    keys, doc = keys[order], doc[order]
+    first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))) if len(keys) else np.zeros(0, bool)
+    later, many = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     later[order] = ~first
-    many[order] = ~first | np.append(~first[1:], False) if len(name) else first
+    many[order] = ~first | np.append(~first[1:], False) if len(keys) else first
     return later, many
 
 
@@ -59,10 +58,7 @@ def text_stats(column: pa.Array, window: int = 5) -> dict[str, np.ndarray]:
     line_doc = np.searchsorted(w.offsets, begins, "right") - 1  # of a line with a word
     has_word = np.searchsorted(w.starts, finish) > np.searchsorted(w.starts, begins)
     begins, finish, line_doc = begins[has_word], finish[has_word], line_doc[has_word]
-    p, q = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * p[:-1], dtype=U64, out=sums[1:])
-    later, _ = _again(mix((sums[finish] - sums[begins]) * q[begins]) + (finish - begins).astype(U64), line_doc)
+    later, _ = _again(numbered(data, begins, finish), line_doc)
     dup_lines = np.bincount(line_doc[later], minlength=n)
     # words in windows that occur again
     keys, counts = w.windows(window)

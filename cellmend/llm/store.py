@@ -1,47 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables of the operators, and the session's number of partitions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.workspace import Workspace, shared_dir
 
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new temporary folder where that is unset (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        app = spark.sparkContext.applicationId
-        path = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="cellmend-"))
-    return path.rstrip("/")
-
-
-class Workspace:
-    """Tables of one run of an operator, as Parquet files under one folder of the shared one.
-
-    A written table outlives its executors, so a lost executor costs the tasks it ran and
-    nothing before them.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Workspace", "partitions", "shared_dir"]
 
 
 def partitions(spark: SparkSession) -> int:

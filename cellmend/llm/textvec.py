@@ -1,13 +1,15 @@
 """Whole Arrow batches of text as NumPy vectors: words, hashes of words, hashes of word windows.
 
-Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r. All hashes are
-64-bit polynomials with a final mix; they depend on the bytes only, so every
-executor and every retry gets the same ones.
+Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r. A word's hash is
+the BLAKE2b of its bytes, made once for each distinct word of a batch; a window's is made of
+those of its halves, quarters and so on by a non-linear mix, like a hash tree. They
+depend on the bytes only, so every executor and every retry gets the same ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,23 +18,14 @@ U64 = np.uint64
 #: Text bytes worked on at once; one longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_ODD = U64(0x9E3779B97F4A7C15)
+#: Longer byte strings are hashed by BLAKE2b.
+LONG = 512
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)  # masks of the first n bytes of a block
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_tables: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_tables[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            t = np.full(size, base, U64)
-            t[0] = 1
-            _tables[k] = np.cumprod(t, dtype=U64)
-    return _tables[0][:n], _tables[1][:n]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -75,6 +68,46 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = end
 
 
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings data[start:end] as a column; they stand in order and do not overlap."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    if len(starts) and offsets[-1] != ends[-1] - starts[0]:
+        inside = np.zeros(len(data) + 1, np.int8)
+        full = ends > starts
+        inside[starts[full]] += 1
+        inside[ends[full]] -= 1
+        data = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    elif len(starts):
+        data = data[starts[0] : ends[-1]]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the byte strings data[start:end], equal ones the same, in order of first occurrence; compared byte by byte."""
+    return np.asarray(strings(data, starts, ends).dictionary_encode().indices).astype(np.int64)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte string data[start:end]."""
+    blocks = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    size = ends - starts
+    a = mix(size.astype(U64), seed + 21)
+    b = mix(a, seed + 22)
+    who = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[who], size[who]
+    while len(who):
+        block = blocks[at] & _FIRST[np.minimum(left, 8)]
+        a[who] = mix(a[who] ^ block, seed + 23)
+        b[who] = mix(b[who] * _ODD + block, seed + 24)
+        more = left > 8
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        found = blake2b(data[starts[i] : ends[i]], digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+        a[i], b[i] = np.frombuffer(found, "<u8")
+    return mix(a * _ODD + b, 25)
+
+
 class Words:
     """Words of each value of a column.
 
@@ -92,26 +125,39 @@ class Words:
         edge[self.offsets] = True
         begin = word.copy()
         begin[1:] &= ~word[:-1] | edge[1:n]
-        finish = word.copy()
-        finish[:-1] &= ~word[1:] | edge[1:n]
         self.starts = np.flatnonzero(begin)
+        del begin
+        finish = word
+        finish[:-1] &= ~word[1:] | edge[1:n]
         self.ends = np.flatnonzero(finish) + 1
+        del word, finish, edge
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
-        p, q = powers(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * p[:n], dtype=U64, out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * q[self.starts])
-        self._sums: np.ndarray | None = None
+        self.hashes = hashed(data, self.starts, self.ends)
+        self._levels = [self.hashes]
+
+    def _level(self, j: int) -> np.ndarray:
+        """Hashes of the 2**j words from each word, as far as there are so many."""
+        while len(self._levels) <= j:
+            half, last = 1 << len(self._levels) - 1, self._levels[-1]
+            self._levels.append(mix(last[: max(0, len(last) - half)] * _ODD + last[half:], 1))
+        return self._levels[j]
 
     def spans(self, starts: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Hashes of the word sequences of ``length`` words from each of ``starts``."""
-        m = len(self.hashes)
-        p, q = powers(m + 1)
-        if self._sums is None:
-            self._sums = np.zeros(m + 1, U64)
-            np.cumsum(self.hashes * p[:m], dtype=U64, out=self._sums[1:])
-        return mix((self._sums[starts + length] - self._sums[starts]) * q[starts], 1)
+        if np.isscalar(length):
+            out, at = np.full(len(starts), mix(np.array([length], U64), 2)[0], U64), starts
+            for j in reversed(range(int(length).bit_length())):
+                if int(length) >> j & 1 and len(starts):
+                    out = mix(out * _ODD + self._level(j)[at], 3)
+                    at = at + (1 << j)
+            return out
+        length = np.asarray(length, np.int64)
+        out = np.zeros(len(starts), U64)
+        for k in np.unique(length).tolist():  # a few lengths: those below a window's
+            mine = np.flatnonzero(length == k)
+            out[mine] = self.spans(starts[mine], k)
+        return out
 
     def windows(self, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of ``k`` words, value after value, and the number of each.
@@ -122,5 +168,6 @@ class Words:
         if short:
             counts = np.where((self.counts > 0) & (self.counts < k), 1, counts)
         starts = np.repeat(self.first[:-1], counts) + ragged(counts)
-        length = np.repeat(np.minimum(self.counts, k), counts) if short else k
-        return self.spans(starts, length), counts
+        if not short or (self.counts[self.counts > 0] >= k).all():
+            return self.spans(starts, k), counts
+        return self.spans(starts, np.repeat(np.minimum(self.counts, k), counts)), counts
