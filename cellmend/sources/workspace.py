@@ -6,10 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes a query's shuffle files when it ends; else they wait for the driver's garbage collection.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
+_scopes: list[list[Workspace]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, at its end, the tables of all workspaces that were opened within it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for work in _scopes.pop():
+            work.close()
+
+
 class Workspace:
     """Tables of one run, as Parquet files under one folder of the shared one.
 
@@ -35,11 +51,18 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        for scope in _scopes[-1:]:
+            scope.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+        """Write ``df`` and return the written table. The shuffle files of the write go when it ends."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
