@@ -31,4 +31,6 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", max_rounds:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = work.keep(now.select(F.col("u").alias("node"), F.col("v").alias("root")), name)
+    work.drop(f"{name}-{r}")
+    return out

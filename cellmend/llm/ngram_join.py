@@ -9,8 +9,10 @@ n2 - k2 without a difference are some subset; the sums of hashes over each such
 the signatures. Similar sets share one (Arasu, Ganti and Kaushik, VLDB 2006), so no link
 is missed; candidates are verified on the full sets.
 
-Work is spent on distinct sets (classes). Signatures travel packed, some thousands a row.
-Members of a signature are linked through a star around the member that has most shared
+Work is spent on distinct sets (classes), and only on those that can have a partner: of a
+set of n shingles that has a similar other set, at most n(1 - t) occur in no other set, in all or in
+half of the domain. One pass counts those of that half, and sets with more are set aside
+before any signature is made. Signatures travel packed, some thousands a row. Members of a signature are linked through a star around the member that has most shared
 signatures; what a star leaves in different components is then compared pair by pair.
 """
 
@@ -33,7 +35,7 @@ from .store import Workspace, partitions
 from .textvec import U64, Words, mix, slices
 
 #: Signatures that a mapper holds before it sends them on, and that a reducer is meant to get.
-FLUSH, PER_BUCKET = 3 << 18, 1 << 21
+FLUSH, PER_BUCKET = 1 << 19, 1 << 20
 #: Bits of a signature beyond those of its bucket.
 SIG_BITS = 40
 #: Columns of a set's sketch.
@@ -235,23 +237,24 @@ def _flush(sig: np.ndarray, node: np.ndarray, bits: int, spread: int) -> Iterato
 
 
 def _emit(k: int, limits, instances, bits: int):
+    """Signatures of the sets of rows (node, text), packed by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, n, flushes = [], 0, 0
         task = TaskContext.get().partitionId()
         for part in slices(batches):
-            sets = _sets(Words(part.column("text"), lower=True), k)
-            names = _node(sets)
+            sets, names = _wanted(part, k)
             fresh = []
             for i, name in enumerate(names.tolist()):
-                if len(sets[i]) and name not in seen:  # a copy has the same signatures
+                if name not in seen:  # a copy has the same signatures
                     seen.add(name)
                     fresh.append(i)
             if len(seen) > 500_000:
                 seen.clear()
             if fresh:
                 sig, who = signatures([sets[i] for i in fresh], limits, instances)
-                held.append((sig, names[fresh][who]))
+                held.append((sig, names[fresh].view(U64)[who]))
                 n += len(sig)
             if n >= FLUSH:
                 yield from _flush(*map(np.concatenate, zip(*held, strict=True)), bits, (task * 31 + flushes) % 4096)
@@ -313,8 +316,8 @@ def _verify(pct: int):
 
 
 def _spread(k: int, bits: int):
-    """32 leading bits of each shingle of each set, packed by bucket; a value that two sets here
-    share is sent on once, as told."""
+    """32 leading bits of the shingles of each set in half of the domain, packed by bucket; a
+    value that two sets here share is sent on once, as told."""
 
     def flush(value: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         value, node = _distinct(value, node)
@@ -332,13 +335,22 @@ def _spread(k: int, bits: int):
             yield _rows(rows[i : i + 256])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         held, n = [], 0
         for part in slices(batches):
-            sets, node = _wanted(part, k)
-            sizes = [len(s) for s in sets]
-            if not sum(sizes):
+            sets = _sets(Words(part.column("text"), lower=True), k)
+            names, fresh = _node(sets), []
+            for i, name in enumerate(names.tolist()):
+                if len(sets[i]) and name not in seen:
+                    seen.add(name)
+                    fresh.append(i)
+            if len(seen) > 500_000:
+                seen.clear()
+            if not fresh:
                 continue
-            held.append((np.concatenate(sets) >> U64(32), np.repeat(node.view(U64), sizes)))
+            flat, owner = np.concatenate([sets[i] for i in fresh]), np.repeat(names[fresh], [len(sets[i]) for i in fresh])
+            half = flat & U64(1) == 0
+            held.append((flat[half] >> U64(32), owner[half]))
             n += len(held[-1][0])
             if n >= FLUSH:
                 yield from flush(*map(np.concatenate, zip(*held, strict=True)))
@@ -394,21 +406,26 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
     digest = work.keep(docs.mapInArrow(_digests(k), "doc_id long, n_shingles long, node long" + "".join(f", {c} long" for c in SKETCH)), "digest")
     nodes = work.keep(digest.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in SKETCH)), "nodes")
 
-    largest = nodes.agg(F.max("n")).first()[0] or 0
+    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = min(20, max(3, math.ceil(math.log2(max(1, total / 2) / PER_BUCKET))))
+    counts = docs.mapInArrow(_spread(k, bits), _PACKED).groupBy("bucket").applyInArrow(_alone(n // 50_000 + 1), "part int, names binary, counts binary")
+    alone = counts.groupBy("part").applyInArrow(_sum_alone, "node long, alone long")
+    nodes = nodes.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    nodes = work.keep(nodes, "weighed")
+    work.drop("nodes")
+    # a similar set holds at least pct percent of the set's shingles
+    able = work.keep(nodes.where(F.expr(f"100 * most >= {pct} * n")), "able")
+
+    largest = able.agg(F.max("n")).first()[0] or 0
     limits = bands(largest, pct)
     edges_of = F.array(*[F.lit(high) for _, high in limits]) if limits else F.array(F.lit(0))
-    sizes = [(r["band"], r["n"]) for r in nodes.groupBy(F.size(F.filter(edges_of, lambda h: h < F.col("n"))).alias("band")).agg(F.count("*").alias("n")).collect()]  # one row for each band: their number is the logarithm of the longest text
+    sizes = [(r["band"], r["n"]) for r in able.groupBy(F.size(F.filter(edges_of, lambda h: h < F.col("n"))).alias("band")).agg(F.count("*").alias("n")).collect()]  # one row for each band: their number is the logarithm of the longest text
     limits, instances = plan(sizes, pct)
     total = 0
     for b, n in sizes:
         total += n * sum(i.n1 * math.comb(i.n2, i.k2) for i in instances[b : b + 2])
     bits = min(20, max(3, math.ceil(math.log2(max(1, total) / PER_BUCKET))))
 
-    packed = docs.mapInArrow(_emit(k, limits, instances, bits), _PACKED)
-    live = work.keep(packed.groupBy("bucket").applyInArrow(_live, "sig long, node long"), "live")
-
-    suspects = work.keep(live.groupBy("node").agg(F.count("*").alias("degree")).join(nodes, "node"), "suspects")
-
     def texts(which: DataFrame) -> DataFrame:
         wanted = which.select("node", "doc_id")
         wanted = F.broadcast(wanted) if which.count() <= BROADCAST_IDS else wanted
@@ -417,21 +434,19 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
     def fetch(which: DataFrame, name: str) -> DataFrame:
         return work.keep(texts(which).mapInArrow(_texts_to_sets(k), "node long, hashes binary").dropDuplicates(["node"]), name)
 
-    def weigh(which: DataFrame) -> DataFrame:
-        """(node, most): how many of a set's shingles some other set of ``which`` has too."""
-        which = suspects.join(which, "node", "left_semi")
-        n, total = which.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        bits = min(20, max(3, math.ceil(math.log2(max(1, total) / PER_BUCKET))))
-        counts = texts(which).mapInArrow(_spread(k, bits), _PACKED).groupBy("bucket").applyInArrow(_alone(n // 50_000 + 1), "part int, names binary, counts binary")
-        alone = counts.groupBy("part").applyInArrow(_sum_alone, "node long, alone long")
-        return work.keep(which.join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "weighed")
+    packed = texts(able).mapInArrow(_emit(k, limits, instances, bits), _PACKED)
+    live = work.keep(packed.groupBy("bucket").applyInArrow(_live, "sig long, node long"), "live")
+
+    suspects = work.keep(live.groupBy("node").agg(F.count("*").alias("degree")).join(able, "node"), "suspects")
+    work.drop("able")
 
-    edges = work.keep(_resolve(live, suspects, fetch, weigh, pct, work), "links")
+    edges = _resolve(live, suspects, fetch, pct, work)
+    work.drop("live", "suspects")
     roots = components(edges, work)
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = work.keep(named.join(lowest, "root").select("node", "component_id", "root"), "of_node")
-    work.drop("live", "suspects", "links")
+    work.drop("links", "weighed", "cc")
     return digest.drop(*SKETCH).join(of_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
@@ -461,7 +476,7 @@ def _possible(pct: int, x: str = "", y: str = "2") -> str:
     return f"100 * {most} >= {pct} * (n{x} + n{y} - {most}) AND ({apart}) * {100 + pct} <= (n{x} + n{y}) * {100 - pct}"
 
 
-def _resolve(live: DataFrame, suspects: DataFrame, fetch, weigh, pct: int, work: Workspace) -> DataFrame:
+def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Workspace) -> DataFrame:
     """Verified links (a, b) that connect whatever linked sets share a signature.
 
     A star round compares each member of a signature with one other member, in the first of
@@ -469,26 +484,22 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, weigh, pct: int, work:
     component then are done. The last round compares all members of the rest that are still
     in different components and were not compared, so that no connection is lost. Sizes,
     shingles that a set has alone and sketches rule out most pairs; what they pass is
-    compared in full.
+    compared in full. A round's tables go when the next has read them.
     """
-    members = live.join(suspects.select("node", "degree", "n"), "node")
-    facts = suspects.select("node", "n", F.col("n").alias("most"), *SKETCH)
+    members = live.join(suspects.select("node", "degree", "n", "most"), "node")
+    facts = suspects.select("node", "n", "most", *SKETCH)
     done = links = None
     tried = won = 0
     for r in range(STAR_ROUNDS + 1):
         if r:
             comp = components(links, work, f"cc-{r}")
-            open_ = members.join(comp, "node", "left").select("sig", "node", "degree", "n", F.coalesce("root", "node").alias("root"))
+            open_ = members.join(comp, "node", "left").select("sig", "node", "degree", "n", "most", F.coalesce("root", "node").alias("root"))
             # of two members, the first round has compared the pair
             unsettled = open_.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.min("n").alias("low")).where("x <> y and c > 2").select("sig", "low")
-            open_ = work.keep(open_.join(unsettled, "sig"), f"open-{r}")
-            if r == 1:
-                most = weigh(open_.select("node").distinct())
-                facts = suspects.join(most, "node").select("node", "n", "most", *SKETCH)
-                # most bounds any intersection of a set, and so its similarity to sets of the sizes that share the signature
-                bound = F.expr(f"100 * most >= {pct} * (n + greatest(low, most) - most)")
-                open_ = work.keep(open_.join(most, "node").where(bound).drop("most"), "weighty")
-            open_ = open_.drop("low")
+            # most bounds any intersection of a set, and so its similarity to sets of the sizes that share the signature
+            bound = F.expr(f"100 * most >= {pct} * (n + greatest(low, most) - most)")
+            open_ = work.keep(open_.join(unsettled, "sig").where(bound).drop("low"), f"open-{r}")
+            work.drop(f"cc-{r}", f"open-{r - 1}")
             members = open_.drop("root")
             size = open_.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
             left, rows = size.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
@@ -497,7 +508,7 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, weigh, pct: int, work:
         else:
             open_ = members.withColumn("root", F.col("node"))
             left = rows = 0
-        last = r == STAR_ROUNDS or (r and (left <= 8 * rows or tried > 50 * won))
+        last = r == STAR_ROUNDS or (r and (left <= 8 * rows or tried > 50 * won and left <= 64 * rows))
         if last:
             x = open_.select("sig", "node", "root").join(facts, "node")
             y = x.select("sig", *(F.col(c).alias(f"{c}2") for c in x.columns if c != "sig"))
@@ -520,10 +531,12 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, weigh, pct: int, work:
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         full = fetch(suspects.join(ends, "node", "left_semi"), f"full-{r}")
         found = work.keep(_compare(likely, full, pct), f"found-{r}")
-        work.drop(f"full-{r}")
+        work.drop(f"full-{r}", f"likely-{r}")
         tried, won = pairs.count(), found.count()
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         if last:
             break
-    return links.distinct()
+    out = work.keep(links.distinct(), "links")
+    work.drop(*(f"{t}-{i}" for t in ("open", "pairs", "found") for i in range(STAR_ROUNDS + 1)))
+    return out

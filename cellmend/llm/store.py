@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..sources.workspace import Workspace, shared_dir
+from ..sources.workspace import Workspace, scope, shared_dir
 
-__all__ = ["Workspace", "partitions", "shared_dir"]
+__all__ = ["Workspace", "partitions", "scope", "shared_dir"]
 
 
 def partitions(spark: SparkSession) -> int:
