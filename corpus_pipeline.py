@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellmend.llm import ngram_join, packing, quality_fm, substring, toxicity
 from cellmend.llm.queries import vocabulary_path
-from cellmend.llm.store import Workspace
+from cellmend.llm.store import Workspace, scope
 
 #: Documents whose toxicity score reaches this are rejected.
 TOXIC = 0.5
@@ -107,9 +107,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next.
+
+    What a stage wrote goes when the next has been written, its intermediate tables at once.
+    """
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        with scope():
+            docs = work.keep(stage(spark, docs, sf_dir), name)
+        if last:
+            work.drop(last)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
