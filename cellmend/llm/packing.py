@@ -4,15 +4,17 @@ Each document's ids are cut into full sequences and a rest. Rests are placed one
 other: with N(h) the number of open sequences filled to level h, a rest of size s goes to
 the level h (0 is a new sequence) for which the sum of the squares of N after the placement
 is smallest (Csirik et al., 2006). N is one array of as many levels as a sequence has
-tokens. When a task's documents end, the sequences still open are dissolved and their
-documents, longest fill first, cut to fill each other; what is left at last, less than
-one sequence, is cut at powers of two, where no padding is due. Tasks pack on their own, so
-there is no shuffle, and a lost task packs the same again.
+tokens. When a task's documents end, the fullest of the sequences still open, as many as all
+their tokens fill, stay as they were placed and are topped up with the documents of the emptiest, cut
+where a sequence is full; what is left at last, less than one sequence, is cut at powers
+of two, where no padding is due. Tasks pack on their own, so there is no shuffle, and a
+lost task packs the same again.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +75,8 @@ class Packer:
 
     def __init__(self, capacity: int):
         self.capacity, self.bins, self.sequence = capacity, SumOfSquares(capacity), 0
+        #: Tokens of rests that stay where the rule placed them, and of those that were cut up to top sequences up.
+        self.placed = self.moved = 0
 
     def _close(self, pieces: list[tuple]) -> list[tuple]:
         """One sequence of pieces (document, start, length)."""
@@ -92,31 +96,35 @@ class Packer:
             done = self.bins.place((doc, full * self.capacity), rest)
             if done:
                 out += self._close([(*p, n) for p, n in done])
+                self.placed += self.capacity
         return out
 
     def finish(self) -> list[tuple]:
+        """Close the open sequences: the fullest are topped up with the documents of the emptiest."""
         out = []
-        now: list[tuple] = []
-        filled = 0
-        for content in self.bins.dissolve():
-            for (doc, start), size in content:
-                while size:
-                    take = min(size, self.capacity - filled)
-                    now.append((doc, start, take))
-                    filled, start, size = filled + take, start + take, size - take
-                    if filled == self.capacity:
-                        out += self._close(now)
-                        now, filled = [], 0
-        for goal in _pow2(filled):
-            part, have = [], 0
-            while have < goal:
-                doc, start, size = now.pop(0)
-                take = min(size, goal - have)
-                part.append((doc, start, take))
-                have += take
-                if take < size:
-                    now.insert(0, (doc, start + take, size - take))
-            out += self._close(part)
+        bins = [[(*p, n) for p, n in content] for content in self.bins.dissolve()]
+        sizes = [sum(n for *_, n in content) for content in bins]
+        full = sum(sizes) // self.capacity
+        spare = deque(piece for content in bins[full:] for piece in content)
+        for content, size in zip(bins[:full], sizes, strict=False):
+            out += self._close(content + self._take(spare, self.capacity - size))
+        self.placed += sum(sizes[:full])
+        left = sum(sizes) - full * self.capacity
+        self.moved += sum(sizes[full:])
+        for goal in _pow2(left):
+            out += self._close(self._take(spare, goal))
+        return out
+
+    def _take(self, spare: deque, goal: int) -> list[tuple]:
+        """Pieces of ``goal`` tokens from the front, the last one cut."""
+        out = []
+        while goal:
+            doc, start, size = spare.popleft()
+            take = min(size, goal)
+            out.append((doc, start, take))
+            goal -= take
+            if take < size:
+                spare.appendleft((doc, start + take, size - take))
         return out
 
 

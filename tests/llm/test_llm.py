@@ -200,6 +200,35 @@ def test_sum_of_squares_choice():
     assert bins.place("d", 3) is None and sum(bins.count) == 1 and bins.count[9] == 1
 
 
+def test_packing_places_like_a_plain_sum_of_squares():
+    """Each placement is that of the rule computed from scratch; most tokens stay where it put them."""
+    rnd = random.Random(12)
+    sizes = [rnd.choice([rnd.randint(1, 63), rnd.randint(1, 200)]) for _ in range(400)]
+    packer, levels, plain = packing.Packer(64), [], packing.SumOfSquares(64)
+    for size in (s % 64 for s in sizes):
+        if not size:
+            continue
+        options = []
+        for h in {0, *levels}:
+            if h + size <= 64:
+                after = list(levels)
+                if h:
+                    after.remove(h)
+                if h + size < 64:
+                    after.append(h + size)
+                options.append((sum(n * n for n in Counter(after).values()), -h, after))
+        _, _, levels = min(options)
+        plain.place("x", size)
+        assert Counter(levels) == {h: n for h, n in enumerate(plain.count.tolist()) if n}
+    pieces = [p for i, s in enumerate(sizes) for p in packer.add(i, s)] + packer.finish()
+    assert sum(p[2] for p in pieces) == sum(sizes) and packer.placed + packer.moved == sum(s % 64 for s in sizes)
+    assert packer.placed > 0.9 * (packer.placed + packer.moved)
+    whole = Counter()
+    for doc, start, length, _, _ in pieces:
+        whole[doc] += length
+    assert whole == Counter(dict(enumerate(sizes)))
+
+
 def test_licences(spark):
     mit = license_scan.TEMPLATES["MIT"][2]
     rows = [(0, "some words\nReleased under the MIT License.\nmore"), (1, None), (2, ""), (3, mit.replace("Software", "software").replace(". ", ".\n")), (4, "all of the words and the others"), (5, "x\n\nLicensed under CC BY-NC 4.0\n\nThis work is licensed under the GNU General Public License, version 3."), (6, "License")]
