@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, partitions
+
+#: Rows that a task of a small step is meant to get.
+PER_TASK = 50_000
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks for a step of so many rows, 8 at least."""
+    return max(8, -(-rows // PER_TASK))
+
+
+def few(df: DataFrame, tasks: int) -> DataFrame:
+    """``df`` in no more than ``tasks`` tasks, without a shuffle: many small partitions cost more than their rows."""
+    return df.coalesce(tasks) if tasks < partitions(df.sparkSession) else df
 
 
 def components(edges: DataFrame, work: Workspace, name: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -13,21 +26,25 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", max_rounds:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Every round is an
     aggregation by node that combines before its shuffle and a join on it; tables are
-    written between rounds.
+    written between rounds. No edges, loops and repeated edges are fine; nodes without an edge to
+    another, and roots themselves, have no row.
     """
     now = work.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    tasks = tasks_for(now.count())
     for r in range(1, max_rounds + 1):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(now, tasks).select("u", "v").unionByName(few(now, tasks).select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), tasks)
+        large = few(large.distinct(), tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = work.keep(small, f"{name}-{r}")
+        small = few(large.join(least, "u").select("v", "m").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), tasks)
+        small = small.unionByName(few(least.select("u", F.col("m").alias("v")), tasks)).distinct()
+        now = work.keep(few(small, tasks), f"{name}-{r}")
         work.drop(f"{name}-{r - 1}")
         # done when each node has one edge, to a node that has none
-        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("up")).distinct())
-        if not ends.groupBy("n").agg(F.count("*").alias("c"), F.sum("up").alias("up")).where("c > 1 and up > 0").limit(1).count():
+        ends = few(now, tasks).select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(few(now.select(F.col("v").alias("n"), F.lit(0).alias("up")), tasks))
+        again = few(ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or ups > 0 and low = 0"), tasks)
+        if not again.agg(F.count("*")).first()[0]:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .graph import components
+from .graph import components, few, tasks_for
 from .store import Workspace, partitions
 from .textvec import U64, Words, mix, slices
 
@@ -486,23 +486,25 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
     shingles that a set has alone and sketches rule out most pairs; what they pass is
     compared in full. A round's tables go when the next has read them.
     """
-    members = live.join(suspects.select("node", "degree", "n", "most"), "node")
+    tasks = tasks_for(live.count())
+    small = lambda df: few(df, tasks)
+    members = small(live.join(suspects.select("node", "degree", "n", "most"), "node"))
     facts = suspects.select("node", "n", "most", *SKETCH)
     done = links = None
     tried = won = 0
     for r in range(STAR_ROUNDS + 1):
         if r:
             comp = components(links, work, f"cc-{r}")
-            open_ = members.join(comp, "node", "left").select("sig", "node", "degree", "n", "most", F.coalesce("root", "node").alias("root"))
+            open_ = small(members.join(comp, "node", "left").select("sig", "node", "degree", "n", "most", F.coalesce("root", "node").alias("root")))
             # of two members, the first round has compared the pair
             unsettled = open_.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.min("n").alias("low")).where("x <> y and c > 2").select("sig", "low")
             # most bounds any intersection of a set, and so its similarity to sets of the sizes that share the signature
             bound = F.expr(f"100 * most >= {pct} * (n + greatest(low, most) - most)")
-            open_ = work.keep(open_.join(unsettled, "sig").where(bound).drop("low"), f"open-{r}")
+            open_ = work.keep(small(open_.join(unsettled, "sig").where(bound).drop("low")), f"open-{r}")
             work.drop(f"cc-{r}", f"open-{r - 1}")
             members = open_.drop("root")
-            size = open_.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
-            left, rows = size.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
+            size = small(open_.groupBy("sig", "root").agg(F.count("*").alias("c"))).groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+            left, rows = small(size).agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
             if not rows:
                 break
         else:
@@ -519,24 +521,25 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
             lead = open_.groupBy("sig").agg(F.max(F.struct(order.alias("o"), "node", "root")).alias("l"))
             lead = lead.select("sig", F.col("l.node").alias("node2"), F.col("l.root").alias("root2"))
             pairs = open_.join(lead, "sig").where("node <> node2 and root <> root2")
-        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        pairs = small(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = work.keep(pairs, f"pairs-{r}")
+        pairs = work.keep(small(pairs), f"pairs-{r}")
         likely = pairs
         if not last:
             for e in "ab":
                 likely = likely.join(facts.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("n", "most", *SKETCH))), e)
+                likely = small(likely)
             likely = work.keep(likely.where(_possible(pct, "_a", "_b")).select("a", "b"), f"likely-{r}")
-        ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        ends = small(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
         full = fetch(suspects.join(ends, "node", "left_semi"), f"full-{r}")
-        found = work.keep(_compare(likely, full, pct), f"found-{r}")
+        found = work.keep(small(_compare(likely, full, pct)), f"found-{r}")
         work.drop(f"full-{r}", f"likely-{r}")
         tried, won = pairs.count(), found.count()
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         if last:
             break
-    out = work.keep(links.distinct(), "links")
+    out = work.keep(small(links.distinct()), "links")
     work.drop(*(f"{t}-{i}" for t in ("open", "pairs", "found") for i in range(STAR_ROUNDS + 1)))
     return out
