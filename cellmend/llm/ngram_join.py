@@ -440,13 +440,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
     suspects = work.keep(live.groupBy("node").agg(F.count("*").alias("degree")).join(able, "node"), "suspects")
     work.drop("able")
 
-    edges = _resolve(live, suspects, fetch, pct, work)
+    roots = _resolve(live, suspects, fetch, pct, work)
     work.drop("live", "suspects")
-    roots = components(edges, work)
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = work.keep(named.join(lowest, "root").select("node", "component_id", "root"), "of_node")
-    work.drop("links", "weighed", "cc")
+    work.drop("weighed", *(f"cc-{r}" for r in range(1, STAR_ROUNDS + 2)))
     return digest.drop(*SKETCH).join(of_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
@@ -477,31 +476,31 @@ def _possible(pct: int, x: str = "", y: str = "2") -> str:
 
 
 def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Workspace) -> DataFrame:
-    """Verified links (a, b) that connect whatever linked sets share a signature.
+    """(node, root) of the components of linked sets, from verified links between sets that share a signature.
 
     A star round compares each member of a signature with one other member, in the first of
     highest degree, while such rounds find links. Signatures whose members are in one
     component then are done. The last round compares all members of the rest that are still
     in different components and were not compared, so that no connection is lost. Sizes,
     shingles that a set has alone and sketches rule out most pairs; what they pass is
-    compared in full. A round's tables go when the next has read them.
+    compared in full. A round's links are added to the components of the one before it. Its
+    tables go when the next has read them.
     """
     tasks = tasks_for(live.count())
     small = lambda df: few(df, tasks)
     members = small(live.join(suspects.select("node", "degree", "n", "most"), "node"))
     facts = suspects.select("node", "n", "most", *SKETCH)
-    done = links = None
+    done = comp = None
     tried = won = 0
     for r in range(STAR_ROUNDS + 1):
         if r:
-            comp = components(links, work, f"cc-{r}")
             open_ = small(members.join(comp, "node", "left").select("sig", "node", "degree", "n", "most", F.coalesce("root", "node").alias("root")))
             # of two members, the first round has compared the pair
             unsettled = open_.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), F.min("n").alias("low")).where("x <> y and c > 2").select("sig", "low")
             # most bounds any intersection of a set, and so its similarity to sets of the sizes that share the signature
             bound = F.expr(f"100 * most >= {pct} * (n + greatest(low, most) - most)")
             open_ = work.keep(small(open_.join(unsettled, "sig").where(bound).drop("low")), f"open-{r}")
-            work.drop(f"cc-{r}", f"open-{r - 1}")
+            work.drop(f"open-{r - 1}")
             members = open_.drop("root")
             size = small(open_.groupBy("sig", "root").agg(F.count("*").alias("c"))).groupBy("sig").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
             left, rows = small(size).agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
@@ -536,10 +535,11 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
         found = work.keep(small(_compare(likely, full, pct)), f"found-{r}")
         work.drop(f"full-{r}", f"likely-{r}")
         tried, won = pairs.count(), found.count()
-        links = found if links is None else links.unionByName(found)
+        stars = found if comp is None else found.unionByName(comp.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        if won or comp is None:
+            comp = components(stars, work, f"cc-{r + 1}")
         done = pairs if done is None else done.unionByName(pairs)
         if last:
             break
-    out = work.keep(small(links.distinct()), "links")
     work.drop(*(f"{t}-{i}" for t in ("open", "pairs", "found") for i in range(STAR_ROUNDS + 1)))
-    return out
+    return comp

@@ -110,12 +110,30 @@ def test_jaccard_join_of_empty_tables(spark, docs):
     assert got == {1: 1, None: 3, 3: 3}
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("block", [4, 1000])
+def test_components_of_a_long_chain(spark, block):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r["node"]: r["root"] for r in components(edges, Workspace(spark, "test")).collect()}
+    got = {r["node"]: r["root"] for r in components(edges, Workspace(spark, "test"), block=block).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+@pytest.mark.parametrize("block", [16, 1000])
+def test_components_equal_a_plain_search(spark, block):
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(-60, 60), rnd.randrange(-60, 60)) for _ in range(50)]
+    want = {n: n for e in edges for n in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    table = spark.createDataFrame(edges * 2, "a long, b long")
+    got = {r["node"]: r["root"] for r in components(table, Workspace(spark, "test"), block=block).collect()}
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
+def test_components_without_edges(spark):
+    assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "test")).count() == 0
+
+
 def test_substring_dedup_equals_brute_force(docs):
     for window in (35, 5):
         rows = docs.collect()
