@@ -43,6 +43,10 @@ SKETCH = [f"p{i}" for i in range(8)]
 #: Rows of (doc_id) that are broadcast at most; above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 4
+#: Comparisons of cheap facts for each row that the last round may make when star rounds find little; it costs about one such round.
+LAST = 256
+#: Members of a signature that one task of the last round compares with all others of it.
+HOT = 512
 
 
 @dataclass(frozen=True)
@@ -509,11 +513,14 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
         else:
             open_ = members.withColumn("root", F.col("node"))
             left = rows = 0
-        last = r == STAR_ROUNDS or (r and (left <= 8 * rows or tried > 50 * won and left <= 64 * rows))
+        last = r == STAR_ROUNDS or (r and (left <= 8 * rows or tried > 50 * won and left <= LAST * rows))
         if last:
-            x = open_.select("sig", "node", "root").join(facts, "node")
-            y = x.select("sig", *(F.col(c).alias(f"{c}2") for c in x.columns if c != "sig"))
-            pairs = x.join(y, "sig").where("node < node2 and root <> root2").where(_possible(pct))
+            # members of a large signature are dealt over several tasks, each of which meets all others
+            large = open_.groupBy("sig").agg(F.ceil(F.count("*") / HOT).cast("int").alias("shares")).where("shares > 1")
+            x = open_.select("sig", "node", "root").join(facts, "node").join(large, "sig", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+            y = x.select("sig", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *(F.col(c).alias(f"{c}2") for c in x.columns if c not in ("sig", "shares")))
+            x = x.withColumn("share", F.pmod(F.xxhash64("node", F.lit(-1)), "shares").cast("int")).drop("shares")
+            pairs = x.join(y, ["sig", "share"]).where("node < node2 and root <> root2").where(_possible(pct))
         else:
             # later rounds take leads in another order
             order = F.col("degree") if not r else F.xxhash64("node", F.lit(r))
