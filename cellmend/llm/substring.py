@@ -8,6 +8,9 @@ bucketed by hash: a batch becomes a run, the run is merge-joined with the older
 runs of one level are compacted into one of the next. Anchors that occur again are
 candidates; their windows are verified by a hash of all their words.
 
+A History keeps the runs of earlier batches in a folder, with the texts that verification
+needs: each new batch is joined with them, deduplicated against them and itself, and added.
+
 Window hashes travel packed. A window that occurs twice within a mapper's buffer needs no
 proof elsewhere; one entry tells its bucket, so that a passage of very many documents
 comes to a reducer once for each buffer.
@@ -16,6 +19,7 @@ comes to a reducer once for each buffer.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import uuid
 from collections.abc import Iterator
@@ -43,12 +47,16 @@ class FingerprintIndex:
     add() takes a batch of fingerprints, joins its run with all older ones and returns the
     fingerprints that occur again: twice in the batch, or in it and in an older run. All
     runs are tables of ``buckets`` buckets by h, sorted by it, so that joins need no shuffle.
+    ``levels`` are the names of runs that are in ``path`` already. Compacted runs go at once, or,
+    if the index is ``lasting``, at the next sweep().
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = 2):
-        self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
-        self.levels: list[list[str]] = []
-        self.number = 0
+    def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = 2, levels: list[list[str]] | None = None, lasting: bool = False):
+        self.spark, self.path, self.buckets, self.fanout, self.lasting = spark, path, buckets, fanout, lasting
+        self.levels: list[list[str]] = [list(level) for level in levels or []]
+        self.dead: list[str] = []
+        for name in (r for level in self.levels for r in level):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, n BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
@@ -66,13 +74,20 @@ class FingerprintIndex:
                     more = self.spark.table(name).withColumnRenamed("n", "m")
                     rows = rows.join(more.hint("merge"), "h", "full").select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
                 self.levels[level + 1].append(self._write(rows))
-                for name in old:
-                    self._drop(name)
+                self.dead += old
+                if not self.lasting:
+                    self.sweep()
+
+    def sweep(self) -> None:
+        """Delete the runs that were compacted into others."""
+        for name in self.dead:
+            self._drop(name)
+        self.dead = []
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _place(self.spark, f"{self.path}/{name}")
+        fs.delete(path, True)
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
         """(h) of the fingerprints (h, one row an occurrence) that occur again; not distinct."""
@@ -88,10 +103,74 @@ class FingerprintIndex:
         return hits
 
     def close(self) -> None:
-        for level in self.levels:
-            for name in level:
+        """Forget the tables, and delete them unless the index is lasting."""
+        for name in [r for level in self.levels for r in level] + self.dead:
+            if self.lasting:
+                self.spark.sql(f"DROP TABLE {name}")
+            else:
                 self._drop(name)
-        self.levels = []
+        self.levels, self.dead = [], []
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system and the path object of ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+class History:
+    """What earlier batches held, in the folder ``path`` that driver and executors share.
+
+    Runs of fingerprints, and for each batch its postings (row_key, anchors) and texts. A state file
+    names them; it is written when a batch is complete and replaces the one before, so that a batch
+    that fails leaves the history as it was (open it anew then) and may be given again. ``window`` is fixed
+    by the first batch; another one is refused. One writer at a time. A path without a state is an empty history.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = 35, buckets: int | None = None, fanout: int = 4):
+        self.spark, self.path, self.window = spark, path.rstrip("/"), window
+        self.number, self.batches = 0, []
+        fs, where = _place(spark, self.path)
+        states = sorted(f.getPath().getName() for f in (fs.listStatus(where) if fs.exists(where) else []) if f.getPath().getName().startswith("state-"))
+        state = {"window": window, "anchor": ANCHOR, "buckets": buckets or partitions(spark), "levels": []}
+        if states:
+            state = json.loads(spark.read.text(f"{self.path}/{states[-1]}", wholetext=True).first()[0])
+            if (state["window"], state["anchor"]) != (window, ANCHOR):
+                raise ValueError(f"the history in {path} has windows of {state['window']} words and anchors of {state['anchor']}")
+            self.number, self.batches = state["number"], state["batches"]
+        self.index = FingerprintIndex(spark, self.path, state["buckets"], fanout, state["levels"], lasting=True)
+
+    def _tables(self, kind: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{kind}-{b}" for b in self.batches))
+
+    def candidates(self, hits: DataFrame) -> DataFrame | None:
+        """(row_key, text, again) of the earlier rows that have fingerprints in ``hits`` (h, distinct)."""
+        if not self.batches:
+            return None
+        postings = self._tables("postings", "row_key long, anchors array<long>").select("row_key", F.explode("anchors").alias("h"))
+        again = postings.distinct().join(hits, "h", "left_semi").groupBy("row_key").agg(F.collect_list("h").alias("again"))
+        return self._tables("texts", "row_key long, text string").join(again, "row_key").select("row_key", "text", "again")
+
+    def commit(self, docs: DataFrame, survey: DataFrame) -> None:
+        """Add the batch whose fingerprints are in the index: texts of ``docs``, anchors of ``survey`` (both with row_key)."""
+        name = uuid.uuid4().hex
+        long = survey.where(F.size("anchors") > 0).select("row_key", "anchors")
+        long.write.option("compression", "zstd").parquet(f"{self.path}/postings-{name}")
+        docs.select("row_key", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").write.option("compression", "zstd").parquet(f"{self.path}/texts-{name}")
+        self.batches, self.number = [*self.batches, name], self.number + 1
+        state = {"number": self.number, "window": self.window, "anchor": ANCHOR, "buckets": self.index.buckets, "levels": self.index.levels, "batches": self.batches}
+        fs, new = _place(self.spark, f"{self.path}/new-{name}")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not fs.rename(new, _place(self.spark, f"{self.path}/state-{self.number:09d}")[1]):
+            raise RuntimeError(f"another writer has added to the history in {self.path}")
+        fs.delete(_place(self.spark, f"{self.path}/state-{self.number - 1:09d}")[1], False)
+        self.index.sweep()
+
+    def close(self) -> None:
+        """Forget the tables of this session; the folder stays."""
+        self.index.close()
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -245,10 +324,11 @@ class Repeats:
     space). marked: the rows of docs with such windows, and their spans (low, high) of window starts.
     Rows are told apart by row_key, a hash of doc_id and text: equal rows share it, and
     what holds for one holds for the other. Null texts are empty. Columns other than doc_id and
-    text are carried along in marked. Fingerprints are taken in ``batches`` batches.
+    text are carried along in marked. Fingerprints are taken in ``batches`` batches. With a
+    ``history`` windows that an earlier batch of it had occur again too; its index gets the fingerprints.
     """
 
-    def __init__(self, docs: DataFrame, window: int, batches: int = 4, work: Workspace | None = None):
+    def __init__(self, docs: DataFrame, window: int, batches: int = 4, work: Workspace | None = None, history: History | None = None):
         spark = docs.sparkSession
         self.window = window
         self.work = work = work or Workspace(spark, "repeats")
@@ -256,15 +336,18 @@ class Repeats:
         kind = docs.schema["doc_id"].dataType.simpleString()
         narrow = docs.select("doc_id", "row_key", F.col("text").cast("string").alias("text"))
         survey = narrow.mapInArrow(_survey(window), f"doc_id {kind}, row_key long, n_words long, sha string, anchors array<long>")
-        survey = work.keep(survey, "survey")
+        self.full = survey = work.keep(survey, "survey")
         self.survey = survey.drop("anchors")
-        index = FingerprintIndex(spark, f"{work.path}/index", partitions(spark))
+        index = history.index if history else FingerprintIndex(spark, f"{work.path}/index", partitions(spark))
         hits = None
-        for b in range(batches):
-            mine = survey.where(F.pmod("row_key", F.lit(batches)) == b)
-            found = work.keep(index.add(mine.select(F.explode("anchors").alias("h"))), f"hits-{b}")
-            hits = found if hits is None else hits.unionByName(found)
-        index.close()
+        try:
+            for b in range(batches):
+                mine = survey.where(F.pmod("row_key", F.lit(batches)) == b)
+                found = work.keep(index.add(mine.select(F.explode("anchors").alias("h"))), f"hits-{b}")
+                hits = found if hits is None else hits.unionByName(found)
+        finally:
+            if not history:
+                index.close()
         postings = survey.select("row_key", F.explode("anchors").alias("h")).distinct()
         again = postings.join(hits.distinct(), "h").groupBy("row_key").agg(F.collect_list("h").alias("again"))
         again = work.keep(again, "again")
@@ -272,11 +355,17 @@ class Repeats:
         some = again.select("row_key")
         texts = docs.join(F.broadcast(some), "row_key", "left_semi") if n <= BROADCAST_KEYS else docs
         self.texts = work.keep(texts.join(again.hint("shuffle_hash"), "row_key"), "texts")
+        windowed = self.texts.select("row_key", F.col("text").cast("string").alias("text"), "again")
+        earlier = history.candidates(hits.distinct()) if history else None
+        if earlier is not None:
+            earlier = work.keep(earlier, "earlier")
+            total = (total or 0) + (earlier.agg(F.sum(F.size("again"))).first()[0] or 0)
+            windowed = windowed.unionByName(earlier)
         work.drop("again", *(f"hits-{b}" for b in range(batches)))
         # some (window - ANCHOR + 2) / 2 windows share an anchor
         windows = (total or 0) * (window - min(ANCHOR, window) + 2) // 2
         bits = max(0, math.ceil(math.log2(max(1, windows) / PER_BUCKET)), min(12, math.ceil(math.log2(partitions(spark)))))
-        packed = self.texts.select("row_key", F.col("text").cast("string").alias("text"), "again").mapInArrow(_emit(window, bits), "bucket int, told boolean, hashes binary, names binary, place binary, starts binary")
+        packed = windowed.mapInArrow(_emit(window, bits), "bucket int, told boolean, hashes binary, names binary, place binary, starts binary")
         spans = packed.groupBy("bucket").applyInArrow(_verified, "row_key long, low int, high int")
         spans = spans.distinct().groupBy("row_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
         self.marked = self.texts.drop("again").join(spans.hint("shuffle_hash"), "row_key")
@@ -319,18 +408,26 @@ def digests(docs: DataFrame, window: int = 35) -> DataFrame:
     return changed.drop("row_key").unionByName(rest)
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, history: History | None = None) -> DataFrame:
     """``docs`` with repeated passages removed from text, and n_removed, the number of words.
 
     Texts without any stay as they are; of the others the kept words are joined by one space.
     A column n_removed (or row_key, again, spans) of ``docs`` is replaced or left out; all others stay.
+
+    With a ``history`` passages that an earlier batch of it had go as well (judged on the batches as
+    they came, not on what was left of them), and ``docs``, read several times, becomes its next
+    batch before this returns. A batch given twice loses all its windows the second time.
     """
     docs = docs.drop("n_removed", "row_key", "again", "spans")
-    found = Repeats(docs, window)
+    if history and history.window != window:
+        raise ValueError(f"the history has windows of {history.window} words")
+    found = Repeats(docs, window, history=history)
     rows = found.marked.select("row_key", *docs.columns, "spans").withColumn("text", F.col("text").cast("string"))
     changed = rows.mapInArrow(_kept(window), f"{_ddl(rows, 'spans')}, `_n` long, n_removed long").drop("_n")
     changed = found.work.keep(changed, "changed")
-    found.work.drop("texts")
+    found.work.drop("texts", "earlier")
+    if history:
+        history.commit(found.docs, found.full)
     rest = found.unmarked(found.docs, changed).withColumn("n_removed", F.lit(0).cast("long"))
     return changed.drop("row_key").unionByName(rest.drop("row_key"))
 

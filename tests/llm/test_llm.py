@@ -169,6 +169,46 @@ def test_index_levels_find_what_occurs_again(spark):
     index.close()
 
 
+def test_history_deduplicates_batch_after_batch(spark, tmp_path):
+    """Each batch against plain Python over it and all before it; the folder is opened anew for each."""
+    rnd, w, path = random.Random(9), 12, str(tmp_path / "history")
+    shared = [prose(rnd, 30, 5000) for _ in range(6)]
+    batches, number = [], 0
+    for b in range(4):
+        rows = []
+        for _ in range(12):
+            rows.append((number, " ".join((prose(rnd, rnd.choice([2, 15, 30]), 5000), rnd.choice(shared), prose(rnd, 9, 5000), rnd.choice(shared + [""])))))
+            number += 1
+        batches.append(rows + [(number, None), (number + 1, " "), (number + 2, "one two")] + (batches[0][:2] if b == 2 else []))
+        number += 3
+    batches.insert(2, [])
+    before, n_runs = Counter(), []
+    for rows in batches:
+        history = substring.History(spark, path, w, buckets=2, fanout=2)
+        got = Counter(map(tuple, substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), w, history).select("doc_id", "n_removed").collect()))
+        seen = before + Counter(tuple(words(t)[i : i + w]) for _, t in rows for i in range(len(words(t)) - w + 1))
+        want = Counter()
+        for d, t in rows:
+            x = words(t)
+            want[d, len({j for i in range(len(x) - w + 1) if seen[tuple(x[i : i + w])] > 1 for j in range(i, i + w)})] += 1
+        assert got == want
+        before = seen
+        n_runs.append(sum(map(len, history.index.levels)))
+        assert sorted(p.name for p in (tmp_path / "history").glob("run_*")) == sorted(r for level in history.index.levels for r in level)
+        history.close()
+    assert max(n_runs) < 4 * len(batches) - 4 and not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+    # a batch that fails leaves no trace in the state
+    history = substring.History(spark, path, w)
+    state = (history.number, history.batches, [list(level) for level in history.index.levels])
+    history.index.add(spark.createDataFrame([(1,)], "h long")).count()
+    history.close()
+    history = substring.History(spark, path, w)
+    assert (history.number, history.batches, history.index.levels) == state
+    history.close()
+    with pytest.raises(ValueError):
+        substring.History(spark, path, w + 1)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
