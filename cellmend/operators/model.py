@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources.tables import by_cell
 from .domain import candidates, softmax
 from .features import FeatInfo
 
@@ -67,9 +68,9 @@ class _Optimizer:
 
 def packed(features: DataFrame, domain: DataFrame, labels: DataFrame) -> DataFrame:
     """(_vid_, label, size, val_idx[], feat[], x[]) of each labelled cell."""
-    cells = domain.select("_vid_", "domain_size").join(labels.where("label >= 0").select("_vid_", "label"), "_vid_")
+    cells = by_cell(domain.select("_vid_", "domain_size"), labels.where("label >= 0").select("_vid_", "label"), "_vid_")
     rows = features.groupBy("_vid_").agg(F.array_sort(F.collect_list(F.struct("val_idx", "feat", "x"))).alias("f"))
-    rows = cells.join(rows, "_vid_", "left")
+    rows = by_cell(cells, rows, "_vid_", "left")
     part = lambda name, kind: F.coalesce(F.col(f"f.{name}"), F.array().cast(f"array<{kind}>")).alias(name)
     return rows.select("_vid_", "label", F.col("domain_size").alias("size"), part("val_idx", "int"), part("feat", "int"), part("x", "double"))
 
@@ -211,7 +212,7 @@ def scores(features: DataFrame, domain: DataFrame, w: np.ndarray) -> DataFrame:
     """(_vid_, val_idx, score) of all candidates: the weighted sum of their features."""
     table = features.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)] or [(0, 0.0)], "feat int, w double")
     summed = features.join(F.broadcast(table), "feat").groupBy("_vid_", "val_idx").agg(F.sum(F.col("w") * F.col("x")).alias("score"))  # a weight for each feature
-    return candidates(domain).select("_vid_", "val_idx").join(summed, ["_vid_", "val_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return by_cell(candidates(domain).select("_vid_", "val_idx"), summed, ["_vid_", "val_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def predict(features: DataFrame, domain: DataFrame, w: np.ndarray) -> DataFrame:

@@ -56,3 +56,12 @@ def test_similarity_feature_equals_plain_python(spark):
         v, own = domain[r["cid"], r["val_idx"]], init[r["cid"]]
         want = -1.0 if v == own else 4 * common(v, own) / (len(v) + len(own)) - 1
         assert r["feat"] == r["cid"] % 4 and r["x"] == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
+@pytest.mark.parametrize("name", ["logistic_posterior"])
+def test_cells_are_never_broadcast(spark, name):
+    """Tables of cells and candidates meet in a shuffle, however small their files are; only tables of counts may be broadcast."""
+    plan = queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_tid_" in plan
+    assert "BroadcastHashJoin [_tid_" not in plan and "BroadcastHashJoin [_vid_" not in plan
