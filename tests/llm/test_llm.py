@@ -536,3 +536,23 @@ def test_pipeline_stages_work_on_what_is_left(spark, tmp_path):
     assert counts == sorted(counts, reverse=True) and counts[0] < 306 and len(kept & toxic) < 0.1 * len(toxic)
     assert len(kept & {1000, 1001, 1002}) == 1
     assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).select("doc_id").distinct().count() == counts[-1]
+
+
+def test_toxicity_learns_offensive_words_and_not_documents():
+    """Unseen documents with an offensive sentence among rare words are found, others are left alone."""
+    rng = np.random.default_rng(5)
+    bad = "idiot stupid scum trash moron clown pathetic loser worthless disgusting".split()
+    plain = [f"w{i}" for i in range(60_000)]
+    texts, labels = [], np.arange(600) % 8 == 0
+    for toxic in labels:
+        said = [" ".join(plain[i] for i in rng.integers(0, len(plain), 12)) for _ in range(20)]
+        if toxic:
+            said.insert(int(rng.integers(21)), f"you {' '.join(rng.choice(bad, 2, replace=False))} {plain[rng.integers(len(plain))]}")
+        texts.append(". ".join(said))
+    ids, first, doc, words = toxicity.sentences(pa.array(texts))
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    bags = [(ids[words.first[i] : words.first[i + 1]], first[cut[i] : cut[i + 1]] - words.first[i]) for i in range(len(texts))]
+    model = toxicity.train(bags[:400], labels[:400].astype(np.int64))
+    score = toxicity.noisy_or(model.sentence_scores(ids, first), doc, len(texts))[400:]
+    assert (score[labels[400:]] >= 0.5).mean() >= 0.95
+    assert (score[~labels[400:]] >= 0.5).mean() <= 0.02
