@@ -12,7 +12,8 @@ is missed; candidates are verified on the full sets.
 Work is spent on distinct sets (classes), and only on those that can have a partner: of a
 set of n shingles that has a similar other set, at most n(1 - t) occur in no other set, in all or in
 half of the domain. One pass counts those of that half, and sets with more are set aside
-before any signature is made. Signatures travel packed, some thousands a row. Members of a signature are linked through a star around the member that has most shared
+before any signature is made. Signatures travel packed, some thousands a row. Of the signatures with the
+same members one stays. Members of a signature are linked through a star around the member that has most shared
 signatures; what a star leaves in different components is then compared pair by pair.
 """
 
@@ -45,6 +46,8 @@ BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 4
 #: Comparisons of cheap facts for each row that the last round may make when star rounds find little; it costs about one such round.
 LAST = 256
+#: With so many left for each row the last round comes at once, as another star round would read all the rows again.
+FEW = 64
 #: Members of a signature that one task of the last round compares with all others of it.
 HOT = 512
 
@@ -443,9 +446,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, pct: int = 80, work: Workspace | N
 
     suspects = work.keep(live.groupBy("node").agg(F.count("*").alias("degree")).join(able, "node"), "suspects")
     work.drop("able")
+    live = _once(live, work)
 
     roots = _resolve(live, suspects, fetch, pct, work)
-    work.drop("live", "suspects")
+    work.drop("once", "suspects")
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = work.keep(named.join(lowest, "root").select("node", "component_id", "root"), "of_node")
@@ -479,6 +483,21 @@ def _possible(pct: int, x: str = "", y: str = "2") -> str:
     return f"100 * {most} >= {pct} * (n{x} + n{y} - {most}) AND ({apart}) * {100 + pct} <= (n{x} + n{y}) * {100 - pct}"
 
 
+def _once(live: DataFrame, work: Workspace) -> DataFrame:
+    """``live`` without the signatures whose members are those of another one, which asks for the same pairs.
+
+    Near copies share most of their signatures with each other only. Lists of members are told apart by
+    their length and the sums of the halves of their members' hashes; a member listed twice counts twice.
+    """
+    h = F.xxhash64("node")
+    lists = live.groupBy("sig").agg(F.count("*").alias("c"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"))
+    first = work.keep(lists.groupBy("c", "low", "high").agg(F.min("sig").alias("sig")).select("sig"), "first")
+    small = first.count() <= BROADCAST_IDS
+    once = work.keep(live.join(F.broadcast(first) if small else first.hint("merge"), "sig", "left_semi"), "once")
+    work.drop("live", "first")
+    return once
+
+
 def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Workspace) -> DataFrame:
     """(node, root) of the components of linked sets, from verified links between sets that share a signature.
 
@@ -513,7 +532,7 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
         else:
             open_ = members.withColumn("root", F.col("node"))
             left = rows = 0
-        last = r == STAR_ROUNDS or (r and (left <= 8 * rows or tried > 50 * won and left <= LAST * rows))
+        last = r == STAR_ROUNDS or (r and (left <= FEW * rows or tried > 50 * won and left <= LAST * rows))
         if last:
             # members of a large signature are dealt over several tasks, each of which meets all others
             large = open_.groupBy("sig").agg(F.ceil(F.count("*") / HOT).cast("int").alias("shares")).where("shares > 1")

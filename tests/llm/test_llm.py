@@ -556,3 +556,14 @@ def test_toxicity_learns_offensive_words_and_not_documents():
     score = toxicity.noisy_or(model.sentence_scores(ids, first), doc, len(texts))[400:]
     assert (score[labels[400:]] >= 0.5).mean() >= 0.95
     assert (score[~labels[400:]] >= 0.5).mean() <= 0.02
+
+
+def test_signatures_with_the_same_members_are_kept_once(spark):
+    """Members listed twice in two parts of the table do not make lists equal that differ."""
+    lists = {1: [7, 8, 9], 2: [7, 8, 9], 3: [7, 8], 4: [8, 7], 5: [7, 7, 9], 6: [8, 8, 9], 7: [9, 8, 7]}
+    work = Workspace(spark, "test")
+    live = work.keep(spark.createDataFrame([(s, n) for s, nodes in lists.items() for n in nodes], "sig long, node long"), "live")
+    found = defaultdict(list)
+    for r in ngram_join._once(live, work).collect():
+        found[r["sig"]].append(r["node"])
+    assert {s: sorted(n) for s, n in found.items()} == {1: [7, 8, 9], 3: [7, 8], 5: [7, 7, 9], 6: [8, 8, 9]}
