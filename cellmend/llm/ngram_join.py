@@ -14,7 +14,8 @@ set of n shingles that has a similar other set, at most n(1 - t) occur in no oth
 half of the domain. One pass counts those of that half, and sets with more are set aside
 before any signature is made. Signatures travel packed, some thousands a row. Of the signatures with the
 same members one stays. Members of a signature are linked through a star around the member that has most shared
-signatures; what a star leaves in different components is then compared pair by pair.
+signatures. Sets that a star leaves in different components meet by their rarest shingles instead: of those that
+sets of two components hold, a set and its similar one share one of the rarest (Chaudhuri, Ganti and Kaushik, ICDE 2006).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -44,11 +45,11 @@ SKETCH = [f"p{i}" for i in range(8)]
 #: Rows of (doc_id) that are broadcast at most; above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 4
-#: Comparisons of cheap facts for each row that the last round may make when star rounds find little; it costs about one such round.
+#: Pairs for each row, in signatures, that the last round may take on when star rounds find little.
 LAST = 256
 #: With so many left for each row the last round comes at once, as another star round would read all the rows again.
 FEW = 64
-#: Members of a signature that one task of the last round compares with all others of it.
+#: Sets with a shingle that one task of the last round compares with all others that have it.
 HOT = 512
 
 
@@ -306,6 +307,17 @@ def _texts_to_sets(k: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, node, root) of the sets of rows (node, root, hashes)."""
+    for batch in batches:
+        # some thousands of sets would be one batch of millions of rows
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("hashes")]
+            size = [len(x) for x in sets]
+            yield pa.record_batch({"shingle": pa.array(np.concatenate(sets))} | {c: pa.array(np.repeat(np.asarray(part.column(c)), size)) for c in ("node", "root")})
+
+
 def _verify(pct: int):
     """Keep the pairs whose sets have 100 * intersection >= pct * union."""
 
@@ -498,16 +510,43 @@ def _once(live: DataFrame, work: Workspace) -> DataFrame:
     return once
 
 
+def _rarest(sets: DataFrame, rest: DataFrame, pct: int, work: Workspace) -> DataFrame:
+    """(shingle, most) of the rarest shingles of each set of ``rest``, with its columns.
+
+    Only shingles count that sets of two components hold. most is the number of them from this one on, in
+    order of the number of sets that hold one. At the first that two sets share it bounds their intersection,
+    which for similar sets is pct percent of either: each of the two has a row for that shingle.
+    """
+    tasks = tasks_for(rest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    small = lambda df: few(df, tasks)
+    held = small(sets.join(rest.select("node", "root"), "node")).mapInArrow(_shingles, "shingle long, node long, root long")
+    shared = small(held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle", "c"))
+    order = Window.partitionBy("node").orderBy(F.desc("c"), F.desc("shingle"))
+    ranked = small(held.select("shingle", "node").join(shared, "shingle")).select("shingle", "node", F.row_number().over(order).alias("most"))
+    rarest = ranked.join(rest, "node").where(f"100 * most >= {pct} * n").select("shingle", "most", "node", "root", "n", *SKETCH)
+    return work.keep(small(rarest), "rarest")
+
+
+def _meet(rarest: DataFrame, pct: int) -> DataFrame:
+    """The pairs of sets of different components that share one of their rarest shingles and may be similar enough."""
+    # sets with a frequent shingle are dealt over several tasks, each of which meets all others
+    large = rarest.groupBy("shingle").agg(F.ceil(F.count("*") / HOT).cast("int").alias("shares")).where("shares > 1")
+    x = rarest.join(large, "shingle", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    y = x.select("shingle", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *(F.col(c).alias(f"{c}2") for c in x.columns if c not in ("shingle", "shares")))
+    x = x.withColumn("share", F.pmod(F.xxhash64("node", F.lit(-1)), "shares").cast("int")).drop("shares")
+    return x.join(y, ["shingle", "share"]).where("node < node2 and root <> root2").where(_possible(pct))
+
+
 def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Workspace) -> DataFrame:
     """(node, root) of the components of linked sets, from verified links between sets that share a signature.
 
     A star round compares each member of a signature with one other member, in the first of
     highest degree, while such rounds find links. Signatures whose members are in one
-    component then are done. The last round compares all members of the rest that are still
-    in different components and were not compared, so that no connection is lost. Sizes,
-    shingles that a set has alone and sketches rule out most pairs; what they pass is
-    compared in full. A round's links are added to the components of the one before it. Its
-    tables go when the next has read them.
+    component then are done. In the last round the members of the rest meet by their rarest
+    shingles, and those in different components that were not compared are, so that no
+    connection is lost. Sizes, shingles that can be shared and sketches rule out most pairs; what
+    they pass is compared in full. A round's links are added to the components of the one before
+    it. Its tables go when the next has read them.
     """
     tasks = tasks_for(live.count())
     small = lambda df: few(df, tasks)
@@ -534,12 +573,9 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
             left = rows = 0
         last = r == STAR_ROUNDS or (r and (left <= FEW * rows or tried > 50 * won and left <= LAST * rows))
         if last:
-            # members of a large signature are dealt over several tasks, each of which meets all others
-            large = open_.groupBy("sig").agg(F.ceil(F.count("*") / HOT).cast("int").alias("shares")).where("shares > 1")
-            x = open_.select("sig", "node", "root").join(facts, "node").join(large, "sig", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-            y = x.select("sig", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *(F.col(c).alias(f"{c}2") for c in x.columns if c not in ("sig", "shares")))
-            x = x.withColumn("share", F.pmod(F.xxhash64("node", F.lit(-1)), "shares").cast("int")).drop("shares")
-            pairs = x.join(y, ["sig", "share"]).where("node < node2 and root <> root2").where(_possible(pct))
+            open_ = work.keep(small(open_.select("node", "root").distinct()).join(suspects.drop("degree", "most"), "node"), "rest")
+            full = fetch(open_, f"full-{r}")
+            pairs = _meet(_rarest(full, open_, pct, work), pct)
         else:
             # later rounds take leads in another order
             order = F.col("degree") if not r else F.xxhash64("node", F.lit(r))
@@ -556,8 +592,8 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
                 likely = likely.join(facts.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in ("n", "most", *SKETCH))), e)
                 likely = small(likely)
             likely = work.keep(likely.where(_possible(pct, "_a", "_b")).select("a", "b"), f"likely-{r}")
-        ends = small(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
-        full = fetch(suspects.join(ends, "node", "left_semi"), f"full-{r}")
+            ends = small(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+            full = fetch(suspects.join(ends, "node", "left_semi"), f"full-{r}")
         found = work.keep(small(_compare(likely, full, pct)), f"found-{r}")
         work.drop(f"full-{r}", f"likely-{r}")
         tried, won = pairs.count(), found.count()
@@ -567,5 +603,5 @@ def _resolve(live: DataFrame, suspects: DataFrame, fetch, pct: int, work: Worksp
         done = pairs if done is None else done.unionByName(pairs)
         if last:
             break
-    work.drop(*(f"{t}-{i}" for t in ("open", "pairs", "found") for i in range(STAR_ROUNDS + 1)))
+    work.drop("rest", "rarest", *(f"{t}-{i}" for t in ("open", "pairs", "found") for i in range(STAR_ROUNDS + 1)))
     return comp
