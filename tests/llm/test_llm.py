@@ -569,8 +569,8 @@ def test_signatures_with_the_same_members_are_kept_once(spark):
     assert {s: sorted(n) for s, n in found.items()} == {1: [7, 8, 9], 3: [7, 8], 5: [7, 7, 9], 6: [8, 8, 9]}
 
 
-def test_the_last_round_meets_few_pairs_of_a_large_group(spark, monkeypatch):
-    """Half-alike sets share signatures in all pairs; without the cheap facts all of these were compared in full."""
+def test_the_last_round_meets_no_pairs_of_half_alike_sets(spark, monkeypatch):
+    """Sets that hold too few shingles of other components meet none, whatever signatures they share (61 pairs did before)."""
     common, n = [f"c{i}" for i in range(150)], 60
     rows = [(i, " ".join(common + [f"d{i}x{j}" for j in range(50)])) for i in range(n)]
     rows += [(n + i, text + " more") for i, (_, text) in enumerate(rows[:5])]
@@ -587,4 +587,4 @@ def test_the_last_round_meets_few_pairs_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
     got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % n for i in range(n + 5)}
-    assert met["pairs-1"] < n
+    assert met["pairs-1"] == 0
